@@ -106,11 +106,13 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the input's columns. Null languages and sources form groups of their own.
 
     The texts are measured twice, once for the sketches and once for the filter, instead of being
-    shuffled or stored; what is joined is one row per language and source.
+    shuffled or stored; the counts alone are written for the sketches, as a filter that the optimizer
+    pushed into the measures would evaluate them many times over. What is joined is one row per language
+    and source.
     """
     m = _keyed(metrics(docs))
-    counts = [c for c in m.columns if c != "_row"]
-    return judged(m, fences(m.select(*counts))).where("kept").select("_row.*")
+    counts = durable(m.select(*(c for c in m.columns if c != "_row")))
+    return judged(m, fences(counts)).where("kept").select("_row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

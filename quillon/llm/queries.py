@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import embeddings, htmltext, mixing, packing, quality, secrets, simhash, toxicity
+from . import embeddings, htmltext, lm, mixing, packing, quality, secrets, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_html_extraction": htmltext.op2,
+    "op3_lm_scoring": lm.op3,
     "op4_embedding_near_dedup": embeddings.op4,
+    "op5_suffix_array_dedup": suffixes.op5,
     "op6_packing": packing.op6,
     "op7_toxicity": toxicity.op7,
     "op8_simhash_near_dedup": simhash.op8,
@@ -17,4 +19,4 @@ QUERIES = {
     "op10_mixing": mixing.op10,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_quality_rules": quality.SQL, "op10_mixing": mixing.SQL}
+ORACLES = {"op1_quality_rules": quality.SQL, "op3_lm_scoring": lm.SQL, "op10_mixing": mixing.SQL}
