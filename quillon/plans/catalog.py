@@ -1,4 +1,480 @@
 """The registered queries of the library and the SQL that they are compared with."""
 
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as fn
+from ..operators import aggregates as ag
+from ..operators import arrays as ar
+from ..operators import learning as ml
+from ..operators import linalg as la
+from ..operators import relational as rel
+from ..sources import tables as src
+from . import bigbench as bb
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def t(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
+    x = spark.read.parquet(f"{d}/{name}.parquet")
+    return x.select(*cols) if cols else x
+
+
+def matrix(spark: SparkSession, rows) -> DataFrame:
+    """A small matrix of a result as (i, j, value)."""
+    return spark.createDataFrame([(i, j, round(float(v), 6)) for i, r in enumerate(np.atleast_2d(rows)) for j, v in enumerate(r)], "i long, j long, value double")
+
+
+# Projection, filters
+
+
+@query("select l_orderkey, l_quantity from lineitem")
+def scan_project(spark, d):
+    return src.read_table(spark, f"{d}/lineitem.parquet", {"l_orderkey": "Int64", "l_quantity": "Float64"})
+
+
+@query("select user_id as uid, value as amount from events")
+def rename_columns(spark, d):
+    return rel.rename(rel.project(t(spark, d, "events"), "user_id", "value"), {"uid": "user_id", "amount": "value"})
+
+
+@query("select o_orderkey, o_totalprice * 2 - 1 as twice, o_totalprice > 100000 as large from orders")
+def assign_columns(spark, d):
+    return rel.assign(t(spark, d, "orders", "o_orderkey", "o_totalprice"), twice=F.col("o_totalprice") * 2 - 1, large=F.col("o_totalprice") > 100000).drop("o_totalprice")
+
+
+@query("select event_id, value from events where user_id > 100")
+def filter_gt(spark, d):
+    return rel.filter_rows(t(spark, d, "events"), F.col("user_id") > 100).select("event_id", "value")
+
+
+@query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey % 7 = 3 and (l_linenumber << 1) >= 4 and (l_partkey >> 1) < 500 and pow(l_quantity, 2) <= 900")
+def filter_arith(spark, d):
+    c = (F.col("l_orderkey") % 7 == 3) & (F.shiftleft("l_linenumber", 1) >= 4) & (F.shiftright("l_partkey", 1) < 500) & (F.pow("l_quantity", F.lit(2)) <= 900)
+    return rel.filter_rows(t(spark, d, "lineitem"), c).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("select p_partkey, p_size from part where p_size = 7 and p_retailprice < 1500")
+def filter_scalar(spark, d, size: int = 7):
+    return rel.filter_rows(t(spark, d, "part"), (F.col("p_size") == size) & (F.col("p_retailprice") < 1500)).select("p_partkey", "p_size")
+
+
+@query("select event_id from events where event_type in ('click', 'view') and not (user_id = 5 or value != value) and event_type != 'signup'")
+def filter_boolean(spark, d):
+    c = F.col("event_type").isin("click", "view") & ~((F.col("user_id") == 5) | (F.col("value") != F.col("value"))) & (F.col("event_type") != "signup")
+    return rel.filter_rows(t(spark, d, "events"), c).select("event_id")
+
+
+@query("select event_id from events where user_id > 20 and user_id < 120 and value >= 1")
+def filter_chain(spark, d):
+    x = rel.filter_rows(t(spark, d, "events"), F.col("user_id") > 20)
+    return rel.filter_rows(rel.filter_rows(x, F.col("user_id") < 120), F.col("value") >= 1).select("event_id")
+
+
+@query("select count(*) as n, count(nullif(user_id, 2147483647)) as present from events where user_id < 2147483647")
+def filter_sentinel(spark, d):
+    x = rel.filter_rows(t(spark, d, "events"), F.col("user_id") < fn.INT_MAX)
+    return x.agg(F.count("*").alias("n"), F.count(fn.from_sentinel(F.col("user_id"))).alias("present"))
+
+
+@query("select l_suppkey, count(*) as n from lineitem group by 1 having count(*) > 600")
+def having(spark, d):
+    return rel.filter_rows(rel.aggregate(t(spark, d, "lineitem"), "l_suppkey", n=ag.length()), F.col("n") > 600)
+
+
+# Joins
+
+
+@query("select o.o_orderkey as o_orderkey, o_custkey, l_quantity from orders o join lineitem l on o.o_orderkey = l.l_orderkey")
+def join_inner(spark, d):
+    return rel.join(t(spark, d, "orders", "o_orderkey", "o_custkey"), t(spark, d, "lineitem", "l_orderkey", "l_quantity"), "o_orderkey", "l_orderkey")
+
+
+@query("select c_custkey as customer, c_name, o_orderkey from customer join orders on c_custkey = o_custkey")
+def join_rename_key(spark, d):
+    return rel.join(t(spark, d, "customer", "c_custkey", "c_name"), t(spark, d, "orders", "o_custkey", "o_orderkey"), "c_custkey", "o_custkey", "customer")
+
+
+@query("select r_name, n_name, s_suppkey from region join nation on r_regionkey = n_regionkey join supplier on s_nationkey = n_nationkey")
+def join_chain(spark, d):
+    x = rel.join(t(spark, d, "region"), t(spark, d, "nation"), "r_regionkey", "n_regionkey", "region")
+    return rel.join(x, t(spark, d, "supplier", "s_nationkey", "s_suppkey"), "n_nationkey", "s_nationkey").select("r_name", "n_name", "s_suppkey")
+
+
+@query("select l_partkey as partkey, l_quantity, p_size from lineitem join part on l_partkey = p_partkey where p_size > 40 and l_quantity > 45")
+def join_filter_pushdown(spark, d):
+    x = rel.join(t(spark, d, "lineitem", "l_partkey", "l_quantity"), t(spark, d, "part", "p_partkey", "p_size"), "l_partkey", "p_partkey", "partkey")
+    return rel.filter_rows(x, (F.col("p_size") > 40) & (F.col("l_quantity") > 45))
+
+
+@query("select e.user_id as u, e.event_id as a, f.event_id as b from events e join events f on e.user_id = f.user_id where e.event_type = 'purchase' and f.event_type = 'signup' and e.user_id < 5")
+def join_many_to_many(spark, d):
+    e = t(spark, d, "events").where("user_id < 5")
+    a = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("a"))
+    return rel.join(a, e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("b")), "user_id", "user_id", "u")
+
+
+# Aggregation
+
+
+@query("select l_returnflag, round(sum(l_quantity), 2) as qty from lineitem group by 1")
+def agg_sum(spark, d):
+    return rel.aggregate(t(spark, d, "lineitem"), "l_returnflag", qty=F.round(ag.total(F.col("l_quantity")), 2))
+
+
+@query("select l_suppkey, count(*) filter (where l_quantity > 25) as large from lineitem group by 1")
+def agg_sum_bool(spark, d):
+    return rel.aggregate(t(spark, d, "lineitem"), "l_suppkey", large=ag.count_true(F.col("l_quantity") > 25))
+
+
+@query("select user_id, count(*) as n from events group by 1")
+def agg_length(spark, d):
+    return rel.aggregate(t(spark, d, "events"), "user_id", n=ag.length(F.col("value") > 2))
+
+
+@query("select user_id, max(value) as top, max(value * 2 + 1) as top2 from events group by 1")
+def agg_max(spark, d):
+    return rel.aggregate(t(spark, d, "events"), "user_id", top=ag.maximum(F.col("value")), top2=ag.maximum(F.col("value") * 2 + 1))
+
+
+@query("select l_suppkey, count(distinct l_orderkey) as orders from lineitem group by 1")
+def agg_count_distinct(spark, d):
+    return rel.aggregate(t(spark, d, "lineitem"), "l_suppkey", orders=ag.length_unique(F.col("l_orderkey")))
+
+
+@query("select o_custkey as cid, count(*) as n, max(o_totalprice) as top from orders group by 1")
+def agg_key_rename(spark, d):
+    return rel.aggregate(t(spark, d, "orders"), "o_custkey", "cid", n=ag.length(), top=ag.maximum(F.col("o_totalprice")))
+
+
+@query("select user_id, " + ", ".join(f"count(*) filter (where event_type = '{k}') as n_{k}" for k in ("click", "view", "purchase")) + ", cast(sum(event_id % 7) as bigint) as s from events group by 1")
+def agg_multi_cond(spark, d):
+    return rel.aggregate(t(spark, d, "events"), "user_id", s=ag.total(F.col("event_id") % 7), **{f"n_{k}": ag.count_true(F.col("event_type") == k) for k in ("click", "view", "purchase")})
+
+
+@query("select event_type, min(value) as low, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd from events group by 1")
+def agg_more_reducers(spark, d):
+    return rel.aggregate(t(spark, d, "events"), "event_type", low=F.min("value"), mean=F.round(F.avg("value"), 6), sd=F.round(F.stddev_samp("value"), 6))
+
+
+@query("select event_type as key, round(quantile_cont(value, 0.5), 6) as value from events group by 1")
+def agg_python_function(spark, d):
+    @F.pandas_udf("double")
+    def median(v: pd.Series) -> float:
+        return float(v.median())
+
+    x = rel.aggregate_python(t(spark, d, "events"), "event_type", "value", median)
+    return x.select(F.col("event_type").alias("key"), F.round("value", 6).alias("value"))
+
+
+@query("select o_custkey, array_to_string(list_sort(list(distinct o_orderpriority)), ',') as kinds from orders group by 1")
+def agg_collect(spark, d):
+    return rel.aggregate(t(spark, d, "orders"), "o_custkey", kinds=F.array_join(F.sort_array(F.collect_set("o_orderpriority")), ","))
+
+
+@query("select user_id as uid, count(*) as n from events group by 1 union all select user_id, count(*) filter (where value > 100) from events group by 1")
+def union_all(spark, d):
+    e = t(spark, d, "events")
+    a = rel.aggregate(e, "user_id", "uid", n=ag.length())
+    return rel.union_all(a, rel.aggregate(e, "user_id", "uid", n=ag.count_true(F.col("value") > 100)))
+
+
+# Arrays
+
+
+def prices(spark, d):
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").alias("value"))
+
+
+def values(spark, d):
+    return t(spark, d, "events").select(F.col("event_id").alias("idx"), "value")
+
+
+@query("select round(sum(o_totalprice), 1) as value from orders")
+def array_sum(spark, d):
+    return ar.array_sum(prices(spark, d)).select(F.round("value", 1).alias("value"))
+
+
+@query("select max(o_totalprice) as value from orders")
+def array_max(spark, d):
+    return ar.array_max(prices(spark, d))
+
+
+@query("select round(sum(value), 2) as value from events where value > 10")
+def mask_sum(spark, d):
+    return ar.array_sum(ar.mask(values(spark, d), F.col("value") > 10)).select(F.round("value", 2).alias("value"))
+
+
+@query("select event_id as idx, (sum(cast(round(value * 100) as bigint)) over (order by event_id))::bigint as value from events")
+def cumsum(spark, d):
+    return ar.cumsum(values(spark, d).withColumn("value", F.round(F.col("value") * 100).cast("long")))
+
+
+STENCIL = "case when lag(value) over w is null or lead(value) over w is null then value else (lag(value) over w + 2 * value + lead(value) over w) / 4 end"
+
+
+@query(f"select event_id as idx, {STENCIL} as value from events window w as (order by event_id)")
+def stencil3(spark, d):
+    return ar.stencil(values(spark, d), lambda p, x, n: (p + 2 * x + n) / 4)
+
+
+@query("select event_id as idx, round(exp(-value / 100) + log10(value) + sqrt(value) + pow(value, 0.5) + value % 7, 6) as value from events")
+def elementwise_math(spark, d):
+    return ar.elementwise(values(spark, d), lambda v: F.round(F.exp(-v / 100) + F.log10(v) + F.sqrt(v) + F.pow(v, F.lit(0.5)) + v % 7, 6))
+
+
+@query("select i as idx, i * i / 10 as value from range(1, 1001) r(i)")
+def comprehension(spark, d):
+    return src.comprehension(spark, 1000, lambda i: i * i / 10)
+
+
+@query("select cast(round(sum(n * 2 + big + m), 0) as bigint) as total from (select count(*) as n, count(*) filter (where value > 100) as big, max(user_id) as m from events group by user_id)")
+def hcat_matrix(spark, d):
+    x = rel.aggregate(t(spark, d, "events"), "user_id", n=ag.length(), big=ag.count_true(F.col("value") > 100), m=ag.maximum(F.col("user_id")))
+    x = x.select(fn.vector("n", F.col("n"), "big", "m").alias("features"))
+    return x.select(F.aggregate("features", F.lit(0.0), lambda a, v: a + v).alias("s")).agg(F.round(F.sum("s")).cast("long").alias("total"))
+
+
+@query("select event_id as idx, value from events union all select event_id + (select max(event_id) + 1 from events), value * 2 from events")
+def array_concat(spark, d):
+    v = values(spark, d)
+    return ar.concat(v, v.withColumn("value", F.col("value") * 2))
+
+
+@query("select 'first' as part, count(*) as n, round(sum(value), 2) as s from events union all select 'text', count(*), round(sum(value), 2) from events")
+def text_round_trip(spark, d):
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    v = values(spark, d)
+    src.write_text(v, path := f"{folder}/text-{uuid.uuid4().hex}")
+    sums = lambda x, name: x.agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("s")).select(F.lit(name).alias("part"), "n", "s")
+    return sums(v, "first").unionByName(sums(src.read_text(spark, path), "text"))
+
+
+# Linear algebra
+
+LINE = ("l_quantity", "l_discount", "l_tax")
+W = [[0.5, -1.0, 2.0], [1.0, 10.0, -3.0]]
+
+
+def samples(spark, d):
+    return t(spark, d, "lineitem").select(fn.vector(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10).alias("features"), fn.vector(F.col("l_extendedprice") / 100000, F.col("l_linenumber")).alias("labels"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(-1.0).alias("label"))
+
+
+S = "(select l_quantity / 50 as x0, l_discount * 10 as x1, l_tax * 10 as x2, l_extendedprice / 100000 as y0, l_linenumber::double as y1, case when l_returnflag = 'R' then 1.0::double else -1.0::double end as y from lineitem)"
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, round(0.5 * l_quantity - l_discount + 2 * l_tax, 6) as p0, round(l_quantity + 10 * l_discount - 3 * l_tax, 6) as p1 from lineitem")
+def gemm_broadcast(spark, d):
+    x = t(spark, d, "lineitem").withColumn("features", fn.vector(*LINE))
+    x = la.project_samples(x, np.array(W))
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", *(F.round(F.col("product")[k], 6).alias(f"p{k}") for k in (0, 1)))
+
+
+@query(" union all ".join(f"select {a}::bigint as i, {b}::bigint as j, round(sum(y{a} * x{b}), 6) as value from {S}" for a in range(2) for b in range(3)))
+def gemm_reduce(spark, d):
+    return matrix(spark, la.reduce_products(samples(spark, d), [F.col("labels")[k] for k in range(2)], [F.col("features")[k] for k in range(3)]))
+
+
+@query("""with m as (select o_custkey % 50 as i, o_orderkey % 20 as j, sum(o_totalprice / 1000) as v from orders group by all)
+select a.i as i, b.i as j, round(sum(a.v * b.v), 2) as value from m a join m b using (j) group by 1, 2""")
+def matrix_multiply(spark, d):
+    m = t(spark, d, "orders").groupBy((F.col("o_custkey") % 50).alias("i"), (F.col("o_orderkey") % 20).alias("j")).agg(F.sum(F.col("o_totalprice") / 1000).alias("value"))
+    return la.multiply(m, la.transpose(m)).select("i", "j", F.round("value", 2).alias("value"))
+
+
+# Learning
+
+
+def descent_sql(steps: int, rate: float) -> str:
+    """Steps of gradient descent for two responses, a step per CTE."""
+    ctes = ["w0 as (select " + ", ".join(f"0.0::double as w{a}{b}" for a in range(2) for b in range(3)) + ")"]
+    for k in range(steps):
+        e = [f"(w{a}0 * x0 + w{a}1 * x1 + w{a}2 * x2 - y{a})" for a in range(2)]
+        ctes.append(f"w{k + 1} as (select " + ", ".join(f"any_value(w{a}{b}) - {rate} / count(*) * sum({e[a]} * x{b}) as w{a}{b}" for a in range(2) for b in range(3)) + f" from {S} s, w{k})")
+    return "with " + ", ".join(ctes) + " " + " union all ".join(f"select {a}::bigint as i, {b}::bigint as j, round(w{a}{b}, 6) as value from w{steps}" for a in range(2) for b in range(3))
+
+
+@query(descent_sql(3, 0.01))
+def linreg_step(spark, d):
+    return matrix(spark, ml.linear_descent(samples(spark, d), 3, 2, 3))
+
+
+@query("select 0::bigint as i, j, round(value, 6) as value from (select unnest([0, 1, 2])::bigint as j, unnest([0.1 - sum(p * x0), -0.2 - sum(p * x1), 0.05 - sum(p * x2)]) as value from"
+       f" (select *, (1 / (1 + exp(-y * (0.1 * x0 - 0.2 * x1 + 0.05 * x2))) - 1) * y as p from {S}))")
+def logreg_step(spark, d):
+    return matrix(spark, ml.logistic_step(samples(spark, d), np.array([0.1, -0.2, 0.05])))
+
+
+def kmeans_sql(k: int, steps: int, first: int = 8) -> str:
+    """Lloyd steps over the first dimensions of the embeddings, from the vectors of least vec_id."""
+    ctes = [f"x as (select vec_id, list_transform(embedding[1:{first}], lambda v: v::double) as e from embeddings)", f"c0 as (select row_number() over (order by vec_id) as c, e as m from x order by vec_id limit {k})"]
+    for s in range(steps):
+        ctes.append(f"n{s} as (select vec_id, arg_min(c, (list_distance(e, m), c)) as c, any_value(e) as e from x, c{s} group by vec_id)")
+        ctes.append(f"c{s + 1} as (select c, [" + ", ".join(f"avg(e[{j}])" for j in range(1, first + 1)) + f"] as m from n{s} group by c)")
+    return "with " + ", ".join(ctes) + f" select c - 1 as i, unnest(range({first})) as j, round(unnest(m), 6) as value from c{steps}"
+
+
+def vectors(spark, d, first: int = 8):
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.transform(F.slice("embedding", 1, first), lambda v: v.cast("double")).alias("features"), "label")
+
+
+@query(kmeans_sql(5, 1))
+def kmeans_step(spark, d):
+    x = vectors(spark, d)
+    return matrix(spark, ml.kmeans_step(x, np.array([r["features"] for r in x.orderBy("idx").limit(5).collect()])))
+
+
+@query(kmeans_sql(5, 4))
+def kmeans_lib(spark, d):
+    x = vectors(spark, d).cache()
+    return matrix(spark, ml.kmeans(x, 5, 4, np.array([r["features"] for r in x.orderBy("idx").limit(5).collect()])))
+
+
+@query()
+def kmeans_random(spark, d):
+    return matrix(spark, ml.spark_kmeans(vectors(spark, d), 5, 10))
+
+
+@query("select unnest([0, 1])::bigint as i, 0::bigint as j, round(unnest([regr_intercept(l_extendedprice / 1000, l_quantity), regr_slope(l_extendedprice / 1000, l_quantity)]), 6) as value from lineitem"
+       " union all select unnest([0, 1])::bigint, 1::bigint, round(unnest([regr_intercept(l_tax, l_quantity), regr_slope(l_tax, l_quantity)]), 6) from lineitem")
+def linreg_lib(spark, d):
+    x = t(spark, d, "lineitem").select(fn.vector("l_quantity").alias("features"), fn.vector(F.col("l_extendedprice") / 1000, F.col("l_tax")).alias("labels"))
+    return matrix(spark, ml.linear_regression(x, 1, 2))
+
+
+@query("""with s as (select l_returnflag as label, count(*) as n, [sum(l_quantity), sum(l_linenumber)::double, sum(l_tax * 100)] as s from lineitem group by 1)
+select label, round(ln(n + 1) - ln(sum(n) over () + count(*) over ()), 6) as prior, unnest(range(3))::int as feature, round(unnest(list_transform(s, lambda v: ln(v + 1) - ln(list_sum(s) + 3))), 6) as likelihood from s""")
+def naive_bayes_lib(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("label"), fn.vector("l_quantity", "l_linenumber", F.col("l_tax") * 100).alias("features"))
+    m = ml.naive_bayes(x, 3)
+    return m.select("label", F.round("prior", 6).alias("prior"), F.posexplode("likelihood").alias("feature", "likelihood")).withColumn("likelihood", F.round("likelihood", 6))
+
+
+BS_ERF = "(sign({x}) * (1 - (((((1.061405429 * k - 1.453152027) * k) + 1.421413741) * k - 0.284496736) * k + 0.254829592) * k * exp(-({x}) * ({x}))))"
+
+
+@query("with a as (select 40.0::double + i / 100000.0::double as strike from range(1, 100001) r(i)), b as (select *, ((0.5 + 0.5 * 0.2 * 0.2)::double * 0.5 + log10(42 / strike)) / (0.2 * sqrt(0.5::double)) as d1 from a),"
+       " c as (select *, d1 - 0.2 * sqrt(0.5::double) as d2, strike * exp(-0.25::double) as future from b), e as (select *, d1 * 0.707106781::double as z1, d2 * 0.707106781::double as z2 from c),"
+       " f as (select *, 1 / (1 + 0.3275911::double * abs(z1)) as k1, 1 / (1 + 0.3275911::double * abs(z2)) as k2 from e)"
+       " select round(sum(42 * (0.5 + 0.5 * " + BS_ERF.format(x="z1").replace(" k", " k1").replace("* k)", "* k1)") + ") - future * (0.5 + 0.5 * " + BS_ERF.format(x="z2").replace(" k", " k2").replace("* k)", "* k2)") + ") - future + 42), 4) as value from f")
+def black_scholes(spark, d):
+    """Sum of put prices; logarithm of base 10, as the program of record has it."""
+    x = src.comprehension(spark, 100_000, lambda i: F.lit(40.0) + i / 100_000)
+    spot, rate, vol, time = 42.0, 0.5, 0.2, 0.5
+    den = vol * F.sqrt(F.lit(time))
+    d1 = ((rate + 0.5 * vol * vol) * time + F.log10(spot / F.col("value"))) / den
+    future = F.col("value") * F.exp(F.lit(-rate * time))
+    call = spot * fn.normal_cdf(d1) - future * fn.normal_cdf(d1 - den)
+    return x.agg(F.round(F.sum(call - future + spot), 4).alias("value"))
+
+
+@query()
+def monte_carlo_pi(spark, d, n: int = 1_000_000):
+    x = spark.range(n).select((F.rand(1) * 2 - 1).alias("x"), (F.rand(2) * 2 - 1).alias("y"))
+    return x.agg((4.0 * F.count_if(F.col("x") * F.col("x") + F.col("y") * F.col("y") < 1) / F.lit(n)).alias("pi"))
+
+
+# Whole programs
+
+CLASS = "cast(floor((p_size - 1) / 4) + 1 as int)"
+
+
+@query(f"select l_suppkey as ss_customer_sk, count(*) as ss_item_count, {', '.join(f'count(*) filter (where {CLASS} = {k}) as id{k}' for k in range(1, 16))} from lineitem join part on l_partkey = p_partkey where p_brand = 'Brand#7' group by 1 having count(*) > 5")
+def q26(spark, d):
+    sales = t(spark, d, "lineitem").select(F.col("l_partkey").alias("ss_item_sk"), F.col("l_suppkey").alias("ss_customer_sk"))
+    item = t(spark, d, "part").select(F.col("p_partkey").alias("i_item_sk"), F.expr(CLASS).alias("i_class_id"), "p_brand")
+    return bb.q26(sales, item, F.col("p_brand") == "Brand#7", 5)
+
+
+@query("""with s as (select o_custkey as cid, count(distinct o_orderkey) as f, max(epoch(o_orderdate)::bigint // 86400) as r, sum(o_totalprice) as a from orders where epoch(o_orderdate)::bigint // 86400 > 9000 group by 1),
+w as (select user_id as cid, count(distinct event_id) as f, max(epoch(ts)::bigint // 86400) as r, sum(value) as a from events where epoch(ts)::bigint // 86400 > 9000 group by 1)
+select cid, max(r)::bigint as recency, sum(f)::bigint as frequency, round(sum(a), 2) as totalspend from (select * from s union all select * from w) group by 1""")
+def q25(spark, d):
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    s = t(spark, d, "orders").select(F.col("o_custkey").alias("cid"), F.col("o_orderkey").alias("ticket"), day("o_orderdate").alias("sold"), F.col("o_totalprice").alias("paid"))
+    w = t(spark, d, "events").select(F.col("user_id").alias("cid"), F.col("event_id").alias("ticket"), day("ts").alias("sold"), F.col("value").alias("paid"))
+    return bb.q25(s, w, 9000).withColumn("totalspend", F.round("totalspend", 2))
+
+
+Q05 = ", ".join(f"count(*) filter (where p_size % 8 = {k}) as clicks_in_{k}" for k in range(1, 8))
+
+
+@query(f"""with c as (select user_id, count(*) filter (where p_size % 10 = 3) as clicks_in_category, {Q05} from events join part on event_id % 2000 = p_partkey group by 1)
+select c_nationkey as customer_demo_clicks_sk, user_id as customer_clicks_sk, clicks_in_category, {', '.join(f'clicks_in_{k}' for k in range(1, 8))}, n_regionkey from c join customer on user_id = c_custkey join nation on c_nationkey = n_nationkey""")
+def q05(spark, d):
+    clicks = t(spark, d, "events").select((F.col("event_id") % 2000).alias("wcs_item_sk"), F.col("user_id").alias("wcs_user_sk"))
+    item = t(spark, d, "part").select(F.col("p_partkey").alias("i_item_sk"), (F.col("p_size") % 8).alias("i_category_id"), (F.col("p_size") % 10).alias("i_category"))
+    customer = t(spark, d, "customer").select(F.col("c_custkey").alias("c_customer_sk"), F.col("c_nationkey").alias("c_current_cdemo_sk"))
+    return bb.q05(clicks, item, customer, t(spark, d, "nation").select(F.col("n_nationkey").alias("cd_demo_sk"), "n_regionkey"), 3)
+
+
+@query()
+def q05_model(spark, d):
+    x = q05(spark, d).withColumns({"cd_education_status": F.col("n_regionkey"), "cd_gender": F.col("n_regionkey") % 2})
+    return matrix(spark, ml.linear_regression(bb.q05_samples(x, 3, 1), 9, 1))
+
+
+@query()
+def q25_model(spark, d):
+    x = bb.q25_samples(q25(spark, d), 19750).withColumn("idx", F.col("cid"))
+    return matrix(spark, ml.kmeans(x.cache(), 8, 5))
+
+
+@query()
+def q26_model(spark, d):
+    x = q26(spark, d).select(F.col("ss_customer_sk").alias("idx"), fn.vector("ss_item_count", *(f"id{k}" for k in range(1, 16))).alias("features"))
+    return matrix(spark, ml.kmeans(x.cache(), 8, 5))
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25")
+def topk(spark, d):
+    return t(spark, d, "orders", "o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+
+
+@query("""with s as (select distinct l_orderkey, l_suppkey from lineitem)
+select a.l_suppkey as item_1, b.l_suppkey as item_2, count(*) as n from s a join s b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey group by 1, 2 having count(*) > 1 order by n desc, 1, 2 limit 100""")
+def pair_count(spark, d):
+    return bb.pair_counts(t(spark, d, "lineitem", "l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey", 1, 100)
+
+
+@query("""with e as (select *, epoch_us(ts) / 1000000.0::double as tm from events), f as (select *, coalesce((tm - lag(tm) over (partition by user_id order by ts, event_id) > 7200)::int, 0) as n from e)
+select user_id, event_id, (sum(n) over (partition by user_id order by ts, event_id))::bigint as session from f""")
+def sessionize(spark, d):
+    x = t(spark, d, "events", "user_id", "event_id", "ts")
+    return ar.prefix_lag_sessions(x, "user_id", ["ts", "event_id"], F.expr("unix_micros(cast(ts as timestamp)) / 1000000.0D"), 7200).drop("ts")
+
+
+@query("""with e as (select *, epoch_us(ts) / 1000000.0::double as tm from events), f as (select *, coalesce((tm - lag(tm) over (partition by user_id order by ts, event_id) > 7200)::int, 0) as n from e),
+g as (select *, sum(n) over (partition by user_id order by ts, event_id) as s from f), h as (select *, bool_or(event_type = 'purchase') over (partition by user_id, s) as has from g)
+select event_type as item, count(*) as n from h where has and event_type <> 'purchase' group by 1 order by n desc, item limit 10""")
+def session_mates(spark, d):
+    x = t(spark, d, "events")
+    return bb.session_mates(x, "user_id", ["ts", "event_id"], F.expr("unix_micros(cast(ts as timestamp)) / 1000000.0D"), "event_type", "purchase", 7200, 10)
+
+
+@query("""with e as (select *, epoch_us(ts) / 1000000.0::double as tm, event_type = 'purchase' as sale from events),
+f as (select *, min(case when sale then tm end) over w as sale_at, sum(sale::int) over w as n from e window w as (partition by user_id order by ts, event_id rows between current row and unbounded following)),
+g as (select *, row_number() over (partition by user_id, n order by ts desc, event_id desc) as back from f where not sale and sale_at is not null)
+select user_id, event_id, back::int as back from g where back <= 5 and tm >= sale_at - 864000""")
+def views_before_purchase(spark, d):
+    x = t(spark, d, "events")
+    x = bb.views_before(x, "user_id", ["ts", "event_id"], F.expr("unix_micros(cast(ts as timestamp)) / 1000000.0D"), F.col("event_type") == "purchase", 864000, 5)
+    return x.select("user_id", "event_id", "back")
