@@ -12,7 +12,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a Python worker is given at a time, where the session leaves Spark's default: texts may be long.
+ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +38,7 @@ def key_of(col: Column) -> Column:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only a session that names none (a test) gets one of its own."""
+    lean(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))

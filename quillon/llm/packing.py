@@ -28,7 +28,7 @@ class Tokens:
     text is encoded whole. The memory of pieces is emptied when it holds `most` of them.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         import base64
 
         import public_tokenizers
@@ -39,29 +39,31 @@ class Tokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoder = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.plain = pattern(r"[ \n]\s|[ \n]\Z|\A[ \n]|\s[ \n]|[^\S \n]")
-        self.most, self.first, self.later = most, {}, {}
+        self.most, self.first, self.later = most, {}, {}  # pieces at the start of a line, and after a space
+
+    def packed(self, text: str) -> bytes:
+        return np.array(self.encoder.encode_ordinary(text), "<u4").tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        encode = self.encoder.encode_ordinary
         if self.plain.search(text):
-            return np.array(encode(text), np.uint32)
+            return np.frombuffer(self.packed(text), "<u4")
         if len(self.first) + len(self.later) > self.most:
             self.first.clear()
             self.later.clear()
-        out: list[int] = []
-        first, later = self.first, self.later
+        out: list[bytes] = []
+        first, later, newline = self.first, self.later, (198).to_bytes(4, "little")
         for n, line in enumerate(text.split("\n")):
             if n:
-                out.append(198)
+                out.append(newline)
             lead, *rest = line.split(" ")
-            if (x := first.get(lead)) is None:
-                x = first[lead] = encode(lead)
-            out += x
+            if lead not in first:
+                first[lead] = self.packed(lead)
+            out.append(first[lead])
             for w in rest:
                 if (x := later.get(w)) is None:
-                    x = later[w] = encode(" " + w)
-                out += x
-        return np.array(out, np.uint32)
+                    x = later[w] = self.packed(" " + w)
+                out.append(x)
+        return np.frombuffer(b"".join(out), "<u4")
 
 
 _tokens: dict[str, Tokens] = {}
@@ -90,7 +92,7 @@ def pieces(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
         for b in batches:
             out = []
             for doc, text in zip(b["doc_id"], b["text"]):
-                ids = np.append(tokens.ids(text if isinstance(text, str) else ""), np.uint32(0)).astype("<u4")
+                ids = np.append(tokens.ids(text if isinstance(text, str) else ""), np.uint32(0)).astype("<u4", copy=False)
                 cuts = [*range(0, len(ids), CAPACITY), len(ids)]
                 if cuts[-2] < (c := len(ids) // COARSE * COARSE) < len(ids):
                     cuts.insert(-1, c)
