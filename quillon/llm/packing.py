@@ -129,24 +129,29 @@ def knapsack(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
 def cutting_stock(demand: np.ndarray, room: int, most: int = 1500) -> list[tuple[int, np.ndarray]]:
     """Patterns that cover the demand for items of weight 1, 2, ...: [(times, items of each weight)].
 
-    Column generation: the basis starts with one pattern per weight, knapsack dynamic programming over
+    Column generation: the basis starts with one pattern per weight in demand, knapsack dynamic programming over
     the duals prices the next column, and the ratio test puts it in, until no pattern prices above 1 (or
     `most` columns were tried; the solution is then still whole, only wider). The times are rounded
     down, and what is left is laid out best fit by decreasing weight. Its work depends on the number of
     weights alone, not on the number of documents.
     """
     n, left = len(demand), demand.astype(np.int64).copy()
-    basis = np.diag([float(room // (k + 1)) for k in range(n)])
-    inverse = np.diag([1.0 / (room // (k + 1)) for k in range(n)])
-    x = inverse @ demand
-    for step in range(most):
-        value, column = knapsack(inverse.sum(axis=0), room)
+    asked = np.flatnonzero(demand)
+    basis = np.diag((room // (asked + 1)).astype(float))
+    inverse = np.diag(1.0 / (room // (asked + 1)))
+    x = inverse @ demand[asked]
+    for step in range(most if len(asked) else 0):
+        prices = np.zeros(n)
+        prices[asked] = inverse.sum(axis=0)
+        value, pattern = knapsack(prices, room)
         if value <= 1 + 1e-9:
             break
+        column = pattern[asked]
         d = inverse @ column
         with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(d > 1e-9, x / d, np.inf)
-        r = int(ratio.argmin())
+            ratio = np.where(d > 1e-7, x / d, np.inf)
+        ties = np.flatnonzero(ratio <= ratio.min() + 1e-12)
+        r = int(ties[d[ties].argmax()])
         basis[:, r] = column
         if step % 50 == 49:
             inverse = np.linalg.inv(basis)
@@ -154,9 +159,11 @@ def cutting_stock(demand: np.ndarray, room: int, most: int = 1500) -> list[tuple
             row = inverse[r] / d[r]
             inverse -= np.outer(d, row)
             inverse[r] = row
-        x = np.maximum(inverse @ demand, 0)
+        x = np.maximum(inverse @ demand[asked], 0)
     out: list[tuple[int, np.ndarray]] = []
-    for c, times in zip(basis.T.round().astype(np.int64), np.floor(x + 1e-9).astype(np.int64)):
+    for part, times in zip(basis.T.round().astype(np.int64), np.floor(x + 1e-9).astype(np.int64)):
+        c = np.zeros(n, np.int64)
+        c[asked] = part
         used = c > 0
         times = min(int(times), int((left[used] // c[used]).min())) if used.any() else 0
         if times > 0:

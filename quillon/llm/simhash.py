@@ -102,7 +102,8 @@ def run_links(fp: np.ndarray, ids: np.ndarray, radius: int) -> list[tuple[int, i
     out = []
     while left.any():
         part = np.zeros_like(left)
-        part[w := int(np.flatnonzero(left)[0])] = left[w] & (~left[w] + np.uint64(1))
+        w = int(np.flatnonzero(left)[0])
+        part[w] = left[w] & (~left[w] + np.uint64(1))
         fresh = part.copy()
         left &= ~part
         while len(at := bits(fresh)):
