@@ -1,10 +1,12 @@
 """The pipeline's stages take effect, each on what the one before kept."""
 
 import os
+import random
 
 import pytest
 
 import corpus_pipeline as cp
+from quillon.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +25,31 @@ def test_stages(spark, tmp_path):
     tokens = docs.selectExpr("sum(length)").first()[0]
     assert tokens == docs.where("start = 0").selectExpr("sum(doc_tokens)").first()[0]
     assert docs.where("start = 0").count() == before.count() == sizes[4]
+
+
+@pytest.mark.parametrize("sets", [7, 512])
+def test_near_duplicate_recall(spark, sets, monkeypatch):
+    """Every planted pair with a five-word Jaccard similarity of 0.8 to 0.95 loses its later document, and none below 0.8 does."""
+    monkeypatch.setattr(simhash, "SETS", sets)
+    rnd = random.Random(4)
+    new = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, gone, seen = [], set(), []
+    for k in range(300):
+        a = [new() for _ in range(300)]
+        b = list(a)
+        for at in rnd.sample(range(300), 2 + k % 8):
+            b[at] = new()
+        share = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        gone |= {2 * k + 1} if share >= 0.8 else set()
+        seen.append(share)
+    last = [new() for _ in range(120)]
+    for k in range(600, 640):  # a chain, and one candidate group larger than a block of 7
+        rows.append((k, " ".join(last)))
+        gone |= {k} if k > 600 else set()
+        last = [*last[:-1], new()] if k % 2 else [new(), *last[1:]]
+    assert sum(0.8 <= x <= 0.95 for x in seen) > 150 and min(seen) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert {i for i, _ in rows} - kept == gone
