@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, table, tasks
-from .components import connected_components
+from .components import Forest, connected_components
 
 #: Vectors of a sequence interval that one task joins with another, and of a leaf of the recursion.
 BLOCK, LEAF = 1024, 128
@@ -73,12 +73,13 @@ def join_intervals(a: tuple, b: tuple, eps: float, least: float, same: bool) ->
     """Counts and roots for two intervals (ids, weights, unit vectors, projections).
 
     Halves the longer interval until both are short, skipping pairs whose boxes lie further apart than
-    eps; short ones are compared exactly. Returns weights linked and smallest linked root per row of each.
+    eps; short ones are compared exactly. Returns weights linked and,
+    per row of each, the smallest id that the links of all short ones together reach.
     """
     (ia, wa, ua, pa), (ib, wb, ub, pb) = a, b
-    na, nb, ra, rb = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64), ia.copy(), ib.copy()
+    na, nb, f = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64), Forest()
     if same:
-        nb, rb = na, ra
+        nb = na
     todo = [(0, len(ia), 0, len(ib))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -101,15 +102,19 @@ def join_intervals(a: tuple, b: tuple, eps: float, least: float, same: bool) ->
         na[a0:a1] += near @ wb[b0:b1]
         if not diagonal:
             nb[b0:b1] += near.T @ wa[a0:a1]
+        ra, rb = ia[a0:a1].copy(), ib[b0:b1].copy()
         while True:  # roots sink to the smallest of the linked ones
-            ya = np.minimum(ra[a0:a1], np.where(near, rb[b0:b1][None, :], np.iinfo(np.int64).max).min(1))
-            ra[a0:a1] = ya
-            yb = np.minimum(rb[b0:b1], np.where(near, ra[a0:a1][:, None], np.iinfo(np.int64).max).min(0))
-            done = (yb == rb[b0:b1]).all()
-            rb[b0:b1] = yb
+            ra = np.minimum(ra, np.where(near, rb[None, :], np.iinfo(np.int64).max).min(1))
+            yb = np.minimum(rb, np.where(near, ra[:, None], np.iinfo(np.int64).max).min(0))
+            done = (yb == rb).all()
+            rb = yb
             if done:
                 break
-    return na, nb, ra, rb
+        for x, r in zip((*ia[a0:a1].tolist(), *ib[b0:b1].tolist()), (*ra.tolist(), *rb.tolist())):
+            if x != r:
+                f.link(x, r)
+    root = lambda ids: np.array([f.root(x) for x in ids.tolist()], np.int64)
+    return na, nb, root(ia), root(ib)
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:

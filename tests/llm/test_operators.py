@@ -144,6 +144,34 @@ def test_embeddings(spark):
     assert links and all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n[i], comp[i], comp[i] == i) for i in range(309))
 
 
+def test_embeddings_across_leaves(spark):
+    """Chains of 400 vectors of one label, links across leaves and intervals included."""
+    rnd = np.random.default_rng(6)
+    ids = rnd.permutation(1600).tolist()
+    angle = np.arange(400) * 0.11  # a link spans 0.2 radians
+    rows = []
+    for c in range(4):
+        for k, a in enumerate(angle % 6.0):
+            v = np.zeros(8)
+            v[2 * c : 2 * c + 2] = np.cos(a), np.sin(a)
+            rows.append((ids[400 * c + k], v.tolist(), 1))
+    unit = np.array([v for _, v, _ in sorted(rows)])
+    links = np.argwhere(np.triu(unit @ unit.T >= 0.98, 1)).tolist()
+    got = by_id(embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id")
+    n, comp = collections.Counter(x for l in links for x in l), components_of(1600, links)
+    assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n[i], comp[i], comp[i] == i) for i in range(1600))
+
+
+def test_embedding_leaves_keep_links(monkeypatch):
+    """Roots of an interval pair connect what its links connect, though a later leaf lowers a root that an earlier one gave."""
+    monkeypatch.setattr(embeddings, "LEAF", 1)
+    unit = np.array([[np.cos(a), np.sin(a)] for a in (0.0, 0.15, -0.15)])
+    for ids in ([10, 5, 3], [10, 3, 5], [3, 10, 5], [5, 3, 10], [5, 10, 3], [3, 5, 10]):
+        x = (np.array(ids), np.ones(3, np.int64), unit, unit)
+        _, _, root, _ = embeddings.join_intervals(x, x, 0.2 * (1 + 1e-9), 0.98, True)
+        assert root.tolist() == [3, 3, 3]
+
+
 @pytest.mark.parametrize("group", [2000, 3])
 def test_suffixes(docs, texts, group, monkeypatch):
     monkeypatch.setattr(suffixes, "GROUP", group)
