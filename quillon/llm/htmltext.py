@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -101,7 +102,7 @@ def outside(path: tuple[str, ...]) -> bool:
     return False
 
 
-# A wrapper is a list of groups [token, repeats, optional, groups within]; a text slot is the group ["#", repeats, optional, text or None, characters, of links].
+# A wrapper is a list of groups [token, repeats, optional, groups within]; a text slot is the group ["#", repeats, optional, text or None, characters, of links, pages].
 
 
 def stream(blocks: list[tuple[tuple[str, ...], str, int]]) -> list:
@@ -117,7 +118,7 @@ def stream(blocks: list[tuple[tuple[str, ...], str, int]]) -> list:
             group = [e, False, False, []]
             (opened[-1][1] if opened else root).append(group)
             opened.append((e, group[3]))
-        (opened[-1][1] if opened else root).append(["#", False, False, text, len(text), linked])
+        (opened[-1][1] if opened else root).append(["#", False, False, text, len(text), linked, 1])
     return folded(root)
 
 
@@ -127,21 +128,21 @@ def folded(groups: list) -> list:
         if g[0] != "#":
             g[3] = folded(g[3])
         if out and out[-1][0] == g[0]:
-            out[-1] = unite(out[-1], g)
+            out[-1] = unite(out[-1], g, max)
             out[-1][1] = True
         else:
             out.append(g)
     return out
 
 
-def unite(a: list, b: list) -> list:
-    """The group that stands for both: differing texts become a slot, groups within are aligned."""
+def unite(a: list, b: list, pages: Callable[[int, int], int]) -> list:
+    """The group that stands for both: differing texts become a slot, groups within are aligned. pages: add for different pages, max for one."""
     if a[0] == "#":
-        return ["#", a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, a[4] + b[4], a[5] + b[5]]
-    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3])]
+        return ["#", a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, a[4] + b[4], a[5] + b[5], pages(a[6], b[6])]
+    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3], pages)]
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, pages: Callable[[int, int], int] = add) -> list:
     """The union-free expression for both streams: a mismatch is a group that one side lacks, hence optional, or repeats."""
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -151,7 +152,7 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(unite(a[i], b[j]))
+            out.append(unite(a[i], b[j], pages))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append([*a[i][:2], True, *a[i][3:]])
@@ -162,7 +163,7 @@ def align(a: list, b: list) -> list:
     merged: list = []
     for g in out:
         if merged and merged[-1][0] == g[0]:
-            both = unite(merged[-1], g)
+            both = unite(merged[-1], g, max)
             both[1], both[2] = True, merged[-1][2] and g[2]
             merged[-1] = both
         else:
@@ -182,7 +183,7 @@ def expression(groups: list) -> str:
 
 
 def rule(groups: list, pages: int) -> dict:
-    """What the wrapper of a host says: the holder with most running text outside boilerplate, and the slots whose text never changes.
+    """What the wrapper of a host says: the holder with most running text outside boilerplate, and the slots whose text never changes and stands on most pages.
 
     A host of one page, or one whose every slot is the same, has no constant slots.
     """
@@ -199,7 +200,7 @@ def rule(groups: list, pages: int) -> dict:
                 if g[3] is None:
                     free += 1
                     mass["/".join(holder)] = mass.get("/".join(holder), 0) + g[4] - 2 * g[5]
-                elif not any(e.split(".", 1)[0] in MAIN for e in path):
+                elif 2 * g[6] > pages and not any(e.split(".", 1)[0] in MAIN for e in path):
                     fixed.append(["/".join(path), g[3]])
 
     walk(groups, ())

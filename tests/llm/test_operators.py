@@ -111,6 +111,20 @@ def test_html(spark):
     assert [got[k]["text"] for k in (6, 7, 8)] == ["", "", "Only <this>"]
 
 
+def html_texts(spark, pages):
+    rows = [(k, f"http://h.example/{k}", f"<html><body>{p}</body></html>") for k, p in enumerate(pages)]
+    return [r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_optional_groups(spark):
+    """What only one page of a host has is no boilerplate; what all have is."""
+    rnd = random.Random(2)
+    long = [body(rnd, 40) for _ in range(6)]
+    extra = ["", "<h2>Only here</h2>", "<pre>code</pre>", "<ul><li>one item</li></ul>", "<table><tr><td>cell</td></tr></table>", ""]
+    pages = [f'<div class="content"><h1>Same head</h1><p>{long[k]}</p>{extra[k]}</div>' for k in range(6)]
+    assert html_texts(spark, pages) == ["\n".join([long[k], *filter(None, [re.sub("<[^>]*>", "", extra[k])])]) for k in range(6)]
+
+
 def test_lm(docs, texts):
     got = by_id(lm.scores(docs, lm.gains(lm.counts(docs))))
     low = [[w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] for t in texts]
