@@ -182,42 +182,45 @@ def expression(groups: list) -> str:
     return " ".join(map(one, groups))
 
 
+def holder(path: tuple[str, ...]) -> str:
+    """The element that holds a block: the last of its path that is not itself a block of text."""
+    return "/".join(path[:-1] if path and path[-1].split(".", 1)[0] in BLOCKS else path)
+
+
 def rule(groups: list, pages: int) -> dict:
-    """What the wrapper of a host says: the holder with most running text outside boilerplate, and the slots whose text never changes and stands on most pages.
+    """What the wrapper of a host says: the holders that are mostly links over all its pages, and the slots whose text never changes and stands on most pages.
 
     A host of one page, or one whose every slot is the same, has no constant slots.
     """
-    mass: dict[str, float] = {}
-    fixed, free = [], 0
+    slots: list[tuple[tuple[str, ...], list]] = []
 
     def walk(gs: list, path: tuple[str, ...]) -> None:
-        nonlocal free
         for g in gs:
             if g[0] != "#":
                 walk(g[3], (*path, g[0]))
             elif not outside(path):
-                holder = path[:-1] if path and path[-1].split(".", 1)[0] in BLOCKS else path
-                if g[3] is None:
-                    free += 1
-                    mass["/".join(holder)] = mass.get("/".join(holder), 0) + g[4] - 2 * g[5]
-                elif 2 * g[6] > pages and not any(e.split(".", 1)[0] in MAIN for e in path):
-                    fixed.append(["/".join(path), g[3]])
+                slots.append((path, g))
 
     walk(groups, ())
-    main = max(sorted(mass), key=mass.get) if mass else None
-    return {"main": main, "fixed": fixed if pages > 1 and free else []}
+    some = pages > 1 and any(g[3] is None for _, g in slots)
+    mass: dict[str, int] = {}
+    fixed = []
+    for path, g in slots:
+        if some and g[3] is not None and 2 * g[6] > pages and not any(e.split(".", 1)[0] in MAIN for e in path):
+            fixed.append(["/".join(path), g[3]])
+        else:
+            mass[holder(path)] = mass.get(holder(path), 0) + g[4] - 2 * g[5]
+    return {"links": sorted(h for h, m in mass.items() if m < 0), "fixed": fixed}
 
 
 def main_text(page: str, host: dict | None) -> str:
-    """The article of a page: what lies in article or main elements, else in the host's main holder, else all that is not boilerplate."""
+    """The article of a page: what lies in article or main elements, else all that is neither boilerplate nor in the host's holders of links."""
     blocks = [b for b in parse(page) if not outside(b[0])]
     if any(e.split(".", 1)[0] in MAIN for b in blocks for e in b[0]):
         blocks = [b for b in blocks if any(e.split(".", 1)[0] in MAIN for e in b[0])]
     elif host:
-        fixed = {tuple(x) for x in host["fixed"]}
-        blocks = [b for b in blocks if ("/".join(b[0]), b[1]) not in fixed and 2 * b[2] <= len(b[1])]
-        if host["main"] and (own := [b for b in blocks if f"{'/'.join(b[0])}/".startswith(f"{host['main']}/")]):
-            blocks = own
+        fixed, links = {tuple(x) for x in host["fixed"]}, set(host["links"])
+        blocks = [b for b in blocks if ("/".join(b[0]), b[1]) not in fixed and holder(b[0]) not in links]
     return "\n".join(t for _, t, _ in blocks)
 
 

@@ -125,6 +125,15 @@ def test_html_optional_groups(spark):
     assert html_texts(spark, pages) == ["\n".join([long[k], *filter(None, [re.sub("<[^>]*>", "", extra[k])])]) for k in range(6)]
 
 
+def test_html_sibling_holders(spark):
+    """An article in several holders stays whole, with paragraphs that are mostly a link; a holder of links goes."""
+    rnd = random.Random(3)
+    t = [[body(rnd, n) for n in (4, 20, 50, 30, 6)] for _ in range(5)]
+    assert html_texts(spark, [f'<div class="x"><a href="/">{t[0][0]}</a></div><p>{t[0][1]}</p>']) == [t[0][1]]
+    pages = [f'<div class="title"><h1>{a}</h1></div><div class="lead"><p>{b}</p></div><div class="content"><p>{c}</p><ul><li>{d}</li><li>{d} {e}</li></ul><p><a href="/">{e}</a>.</p></div><div class="more"><p><a href="/x">{e} {a}</a></p></div>' for a, b, c, d, e in t]
+    assert html_texts(spark, pages) == ["\n".join([a, b, c, d, f"{d} {e}", f"{e}."]) for a, b, c, d, e in t]
+
+
 def test_lm(docs, texts):
     got = by_id(lm.scores(docs, lm.gains(lm.counts(docs))))
     low = [[w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] for t in texts]
