@@ -20,7 +20,8 @@ NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: What may be a credential without a name before it.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+PIECE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -45,12 +46,12 @@ class Automaton:
     order of depth and sign, so the result depends on the multiset of words alone.
     """
 
-    def __init__(self, words: Counter, alpha: float = 0.01, deepest: int = 64) -> None:
+    def __init__(self, words: Counter, alpha: float = 0.01) -> None:
         self.n, self.end, self.to = [0], [0], [{}]
         for w, times in sorted(words.items()):
             at = 0
             self.n[0] += times
-            for c in map(sign, w[:deepest]):
+            for c in map(sign, w):
                 if c not in self.to[at]:
                     self.to[at][c] = [len(self.n), 0]
                     self.n.append(0)
@@ -140,9 +141,9 @@ def train(docs: DataFrame, per_kind: int = 2000) -> list[tuple[Automaton, float]
     Fitted on at most per_kind distinct words of each kind, those with the smallest md5: a bounded
     sample that does not depend on order or partitions. The threshold is the lowest score of the words
     themselves, so a candidate must look as likely as a known credential. Only words that mix digits and letters
-    train, as candidates do.
+    train, as candidates do, and whole words, so the threshold is finite.
     """
-    mixed = durable(labelled(docs).where("word rlike '[0-9]' and word rlike '[A-Za-z]' and length(word) >= 16"))
+    mixed = durable(labelled(docs).where("word rlike '[0-9]' and word rlike '[A-Za-z]'"))
     rows = [r for kind in KINDS[:3] for r in mixed.where(F.col("kind") == kind).orderBy(F.md5("word"), "word").limit(per_kind).select("kind", "word").collect()]
     out = []
     for kind in KINDS[:3]:
@@ -156,11 +157,21 @@ def train(docs: DataFrame, per_kind: int = 2000) -> list[tuple[Automaton, float]
 def spans(text: str, base: list[tuple[str, int, int]], models: list[tuple[Automaton, float]]) -> list[tuple[str, int, int]]:
     """base plus a format span for each candidate outside them that some automaton finds likely enough."""
     out = list(base)
+
+    def likely(s: int, e: int) -> bool:
+        w = text[s:e]
+        return e - s >= 12 and not w.isalpha() and any(map(str.isdigit, w)) and any(map(str.isalpha, w)) and all(e <= x or y <= s for _, x, y in base) and any(a.score(w) >= least for a, least in models)
+
     if models:
         for m in CANDIDATE.finditer(text):
-            w = m[0]
-            if not w.isalpha() and any(map(str.isdigit, w)) and any(map(str.isalpha, w)) and all(m.end() <= s or e <= m.start() for _, s, e in base) and any(a.score(w) >= least for a, least in models):
-                out.append(("format", *m.span()))
+            s, e = m.span()
+            ways = [[(s, e)]]
+            if "." in m[0]:  # the run without dots around it, else the whole run, else what lies between the dots
+                ways = [[(e - len(m[0].lstrip(".")), s + len(m[0].rstrip(".")))], *ways, [p.span() for p in PIECE.finditer(text, s, e)]]
+            for way in ways:
+                if found := [("format", *x) for x in way if likely(*x)]:
+                    out += found
+                    break
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -280,6 +280,24 @@ def test_secrets(docs, texts):
         assert not found or "DEF456xyz" not in clean[i]
 
 
+@pytest.mark.parametrize("shape", ["short", "dotted", "long"])
+def test_secrets_bare_copies(spark, shape):
+    """Bare copies of labelled credentials are found, also short ones, dotted ones, and ones with a sign past character 64."""
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("abcxyzABCXYZ0123456789") for _ in range(n - 2)) + "a7"
+    new = {"short": lambda: word(13), "dotted": lambda: f"{word(7)}.{word(7)}.{word(7)}", "long": lambda: word(86) + "=="}[shape]
+    known = [new() for _ in range(60)]
+    rows = [(k, f"password: {w}") for k, w in enumerate(known)] + [(100 + k, f"see {w} and {w}. More text") for k, w in enumerate(known[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = secrets.train(docs)
+    assert models and all(np.isfinite(least) for _, least in models)
+    n = len(known[0])
+    got = by_id(secrets.scan(docs, models))
+    assert all(got[100 + k]["spans"] == f"format:4:{4 + n},format:{9 + n}:{9 + 2 * n}" for k in range(20))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, models).collect()}
+    assert all(clean[100 + k] == "see [SECRET] and [SECRET]. More text" for k in range(20))
+
+
 def test_mixing(docs, texts):
     got = pd.DataFrame([r.asDict() for r in mixing.curriculum(docs).collect()])
     size = np.array([len(WORD.findall(t or "")) for t in texts])
