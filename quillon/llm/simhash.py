@@ -308,15 +308,18 @@ def similar_links(docs: DataFrame, f: DataFrame, k: int, least: float) -> DataFr
 
 
 def keep_one(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
-    """The documents that are the smallest of their component, with the input's columns; of repeated rows of one doc_id all or none.
+    """One row of each component, that of least doc_id (null last), with the input's columns; of equal rows one.
 
     Components connect documents whose sets of k-word shingles have a Jaccard similarity of least or more.
     """
     f = durable(signatures(docs, k))
     parts = connected_components(similar_links(docs, f, k, least)).withColumnRenamed("id", "node")
     f = f.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keep = f.where("doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*(docs[f"`{c}`"] for c in docs.columns))
+    first = f.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("row"))
+    first = durable(first.join(f.groupBy("row").agg(F.count("*").alias("times")), "row"))
+    rows = docs.withColumn("_hash", F.xxhash64(*(docs[f"`{c}`"] for c in docs.columns)))
+    take = lambda which: rows.join(first.where(which).select(F.col("row").alias("_hash")), "_hash", "left_semi")
+    return take("times = 1").unionByName(take("times > 1").dropDuplicates(["_hash"])).drop("_hash")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,12 @@ def test_near_duplicate_recall(spark, sets, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
     assert {i for i, _ in rows} - kept == gone
+
+
+def test_near_duplicates_keep_one_row(spark):
+    """Clean rows without a doc_id stay; of repeated rows, and of copies under one doc_id, one stays."""
+    long = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    rows = [(None, long[0]), (None, long[1]), (1, long[2]), (1, long[2]), (1, long[2] + " tail"), (None, long[3]), (7, long[3]), (2, long[4]), (2, long[5])]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r["text"].split()[0] for r in got) == [f"w{k}x0" for k in range(6)]
+    assert {r["doc_id"] for r in got if r["text"] == long[3]} == {7}
