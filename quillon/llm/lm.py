@@ -1,7 +1,13 @@
-"""Operator 3: language-model scores with stupid backoff, from n-gram count tables joined to exploded n-grams."""
+"""Operator 3: language-model scores with stupid backoff, from n-gram count tables joined to exploded n-grams.
+
+Rows of n-grams are packed: all that a block of documents asks of one range of hashes is one row, whose
+sorted 64-bit hashes are kept as differences, plane by plane of bytes, so that Spark's compression leaves
+some five and a half bytes of an n-gram.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +16,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, key_of, table, words
+from .common import table, tasks
 
-#: Longest n-gram; what a longer one must occur to count as found; factor of each backoff.
-ORDER, LEAST, BACKOFF = 3, 2, 0.4
-#: n-grams that a task counts before it passes them on; words whose hashes a task remembers.
-CHUNK, MEMORY = 1 << 20, 1 << 19
+#: Longest n-gram; factor of each backoff.
+ORDER, BACKOFF = 3, 0.4
+#: Bytes of text of a block of documents, at most and at least, and of all texts per range of hashes.
+BLOCK, LEAST, RANGE = 16 << 20, 1 << 20, 4 << 20
+#: Words whose hashes a task remembers.
+MEMORY = 1 << 19
+#: The empty n-gram, which every word has as a context.
+EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
 def _mix(context: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
@@ -33,124 +43,166 @@ class Hashes:
 
     def of(self, text: str) -> np.ndarray:
         ws, known = text.encode().lower().split(), self.known
-        if len(known) > MEMORY:
-            known.clear()
-        for w in set(ws).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w, 1)
+        try:
+            return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
+        except KeyError:
+            if len(known) > MEMORY:
+                known.clear()
+            for w in ws:
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w, 1)
         return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
 
 
-def ngrams(x: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(k, hashes, those of the contexts, those of the suffixes) of all k-grams; single words have context and suffix 0."""
-    none = np.zeros(len(x), np.uint64)
-    yield 1, x, none, none
-    h = x
-    for k in range(2, order + 1):
-        if len(x) < k:
-            return
-        longer = _mix(h[:-1], x[k - 1 :], k)
-        yield k, longer, h[:-1], h[1:]
-        h = longer
+def planes(x: np.ndarray) -> bytes:
+    """Non-negative 64-bit values as bytes: all least bytes, then all second ones, and so on."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def counts(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
-    """(k, h, ctx, suf, c): how often each n-gram occurs in all texts; of k > 1 those that occur `least` times or more.
+def values(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
 
-    Each task adds up the n-grams of some texts at a time, and Spark those of a task, before the shuffle
-    by hash, so a frequent n-gram sends a row per task.
-    """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, size = Hashes(), {}, 0
-
-        def out() -> Iterator[pd.DataFrame]:
-            for k, parts in held.items():
-                h, ctx, suf = (np.concatenate(p) for p in zip(*parts))
-                h, at, n = np.unique(h, return_index=True, return_counts=True)
-                for s in range(0, len(h), 100_000):
-                    e = slice(s, s + 100_000)
-                    yield pd.DataFrame({"k": np.full(len(h[e]), k, np.int8), "h": h[e].view(np.int64), "ctx": ctx[at[e]].view(np.int64), "suf": suf[at[e]].view(np.int64), "n": n[e].astype(np.int64)})
-            held.clear()
-
-        for b in batches:
-            for t in b["text"]:
-                x = hashes.of(t)
-                for k, *row in ngrams(x, order):
-                    held.setdefault(k, []).append(row)
-                size += len(x)
-                if size > CHUNK:
-                    yield from out()
-                    size = 0
-        yield from out()
-
-    g = docs.where("text is not null").select("text").mapInPandas(each, "k byte, h long, ctx long, suf long, n long")
-    g = g.groupBy("h").agg(F.first("k").alias("k"), F.first("ctx").alias("ctx"), F.first("suf").alias("suf"), F.sum("n").alias("c"))
-    return g.where(f"k = 1 or c >= {least}")
-
-
-def gains(table_: DataFrame, backoff: float = BACKOFF, order: int = ORDER) -> DataFrame:
-    """(h, gain) from counts(): for a word the logarithm of its share of all words; for a longer n-gram that of its
-    count by its context's, less the score that its suffix would give after backing off.
-
-    The logarithm of a text's score is then the sum of the gains of all its n-grams that are found, plus that
-    of the factor for every n-gram of two words or more. The suffix of an n-gram occurs at least as often as
-    itself, so its score is that of its own count.
-    """
-    c = durable(table_)
-    total = c.where("k = 1").agg(F.sum("c")).first()[0] or 1
-    one = c.where("k = 1").select("h", "c", F.log(F.col("c") / total).alias("s"))
-    out, below = one.select("h", F.col("s").alias("gain")), one
-    for k in range(2, order + 1):
-        here = c.where(F.col("k") == k)
-        ctx = below.select(F.col("h").alias("ctx"), F.col("c").alias("_c"))
-        suf = below.select(F.col("h").alias("suf"), F.col("s").alias("_s"))
-        here = here.join(ctx, "ctx").join(suf, "suf").withColumn("s", F.log(F.col("c") / F.col("_c")))
-        here = durable(here.select("h", "c", "s", (F.col("s") - F.log(F.lit(backoff)) - F.col("_s")).alias("gain")))
-        out, below = out.unionByName(here.select("h", "gain")), here
-    return out
-
-
-def exploded(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc, text_hash, h, n, words): each different n-gram of each text with its count; words is n for single words, else 0."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
-        for b in batches:
-            parts: list[pd.DataFrame] = []
-            size = 0
-            for doc, code, text in zip(b["doc"], b["text_hash"], b["text"]):
-                for k, h, _, _ in ngrams(hashes.of(text), order):
-                    h, n = np.unique(h, return_counts=True)
-                    parts.append(pd.DataFrame({"doc": doc, "text_hash": code, "h": h.view(np.int64), "n": n.astype(np.int32), "words": n.astype(np.int32) * (k == 1)}))
-                    size += len(h)
-                if size > 100_000:
-                    yield pd.concat(parts, ignore_index=True)
-                    parts, size = [], 0
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    return docs.where("text is not null").select("doc", "text_hash", "text").mapInPandas(each, "doc string, text_hash long, h long, n int, words int")
-
-
-def scores(docs: DataFrame, model: DataFrame, backoff: float = BACKOFF, order: int = ORDER) -> DataFrame:
+class Grams:
+    """The n-grams of a block of texts: of each order, the hash of the one that ends at each word, if the text has it."""
+
+    def __init__(self, texts: list[str | None], order: int, hashes: Hashes) -> None:
+        parts = [hashes.of(t) if t else np.zeros(0, np.uint64) for t in texts]
+        self.sizes = np.array([len(x) for x in parts], np.int64)
+        word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.ends, self.hash, self.slot = [], [], []  # of each order: positions, different hashes in order, slot of each position's
+        h = word
+        for k in range(1, order + 1):
+            at = np.flatnonzero(place >= k - 1)
+            if k > 1:
+                longer = np.zeros_like(h)
+                longer[at] = _mix(h[at - 1], word[at], k)
+                h = longer
+            u, slot = np.unique(h[at], return_inverse=True)
+            self.ends.append(at)
+            self.hash.append(u)
+            self.slot.append(slot)
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """All different hashes of the block, sorted, the empty n-gram's among them, and how often each occurs."""
+        h = np.concatenate([np.array([EMPTY]), *self.hash])
+        n = np.concatenate([np.array([self.sizes.sum()]), *(np.bincount(s, minlength=len(u)) for s, u in zip(self.slot, self.hash))])
+        order = np.argsort(h, kind="stable")
+        return h[order], n[order]
+
+    def scores(self, h: np.ndarray, c: np.ndarray, backoff: float) -> np.ndarray:
+        """The logarithm of each text's score, given the corpus's count c of each hash of asked()."""
+        count = np.full((len(self.hash), int(self.sizes.sum())), 0.0)
+        for k, (at, u, slot) in enumerate(zip(self.ends, self.hash, self.slot)):
+            count[k, at] = c[np.searchsorted(h, u)][slot]
+        every = float(c[np.searchsorted(h, EMPTY)])
+        total, open_ = np.zeros(count.shape[1]), np.ones(count.shape[1], bool)
+        longest = np.zeros(count.shape[1], np.int64)
+        for k, at in enumerate(self.ends):
+            longest[at] = k
+        for k in range(len(self.hash) - 1, -1, -1):
+            at = np.flatnonzero(open_ & (longest >= k) & (count[k] > 0))
+            below = count[k - 1, at - 1] if k else every
+            total[at] = np.log(count[k, at] / below) + (longest[at] - k) * math.log(backoff)
+            open_[at] = False
+        return np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), total, len(self.sizes))
+
+
+def blocks(docs: DataFrame, size: int) -> DataFrame:
+    """docs (doc_id, text) dealt out to blocks of some megabytes of text by a number of the row, so that equal rows part."""
+    most = max(-(-size // BLOCK), min(3 * tasks(docs.sparkSession), -(-size // LEAST)), 1)
+    return docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(most)).cast("int").alias("block"), "doc_id", "text")
+
+
+def requests(dealt: DataFrame, order: int, ranges: int, counted: bool) -> DataFrame:
+    """(range, block, h, n): the n-grams of each block by range of their hashes; n holds their counts, or zeros unless counted."""
+    cuts = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+
+    def each(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        h, n = Grams(b["text"].tolist(), order, Hashes()).asked()
+        n = n.astype(np.uint64) * np.uint64(counted)
+        edge = np.r_[0, np.searchsorted(h, cuts), len(h)].tolist()
+        rows = [(r, key[0], planes(np.diff(h[s:e], prepend=np.uint64(0))), planes(n[s:e])) for r, (s, e) in enumerate(zip(edge, edge[1:])) if s < e]
+        return pd.DataFrame(rows, columns=["range", "block", "h", "n"])
+
+    return dealt.groupBy("block").applyInPandas(each, "range int, block int, h binary, n binary")
+
+
+def _totals(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of the rows of one range: different hashes, their counts, and of each row its slots among them and own counts."""
+    own = [np.cumsum(values(x)) for x in b["h"]]
+    n = [values(x) for x in b["n"]]
+    h, slot = np.unique(np.concatenate(own), return_inverse=True)
+    total = np.bincount(slot, np.concatenate(n).astype(float), len(h)).astype(np.uint64)
+    return h, total, np.split(slot, np.cumsum([len(x) for x in own])[:-1]), n
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(h, c): the count table of all n-grams of up to `order` words, and of the empty one (all words), partitioned by ranges of hashes."""
+    size = text_bytes(docs)
+
+    def each(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        h, total, _, _ = _totals(b)
+        return pd.DataFrame({"h": h.view(np.int64), "c": total.astype(np.int64)})
+
+    return requests(blocks(docs, size), order, 1 + size // RANGE, True).groupBy("range").applyInPandas(each, "h long, c long")
+
+
+def scores(docs: DataFrame, corpus: DataFrame | None = None, backoff: float = BACKOFF, order: int = ORDER) -> DataFrame:
     """One row per document (doc_id, text): doc_id, n_words, log_score, mean_log_score, both rounded to 4 places.
 
-    The n-grams of all texts meet the model by hash and are summed per document; Spark splits the rows of
-    a frequent one. Words that the model lacks add nothing. Null texts and those without words have
-    log_score 0 and no mean. Rows that are repeated are added up together and divided again.
+    A word after two others scores the count of the three over that of the two, if the corpus has the
+    three; else backoff times the score after one other, and so on down to its share of all words. Words
+    that the corpus (docs itself, unless given) lacks add nothing. Null texts and those without words
+    have log_score 0 and no mean; repeated rows are documents of their own; columns other than doc_id and
+    text are not looked at. An empty table gives none.
+
+    Documents are dealt out to blocks of at most some BLOCK bytes besides the longest text. A block asks
+    each range of hashes for the counts of its different n-grams; the range adds up its part of the count
+    table and answers in the order asked; the block joins the answers to its n-grams and adds up each
+    document. Texts are shuffled once. A frequent n-gram is one entry per block, however often it occurs,
+    and all counts are whole: none is dropped, however rare. There are as many rows of requests as pairs of
+    a block and a range, at most one per n-gram asked.
     """
-    docs = docs.select("doc_id", key_of(F.col("doc_id")).alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
-    g = exploded(docs, order).join(model, "h", "left")
-    each = F.sum(F.col("n") * F.coalesce("gain", F.lit(0.0))) + F.sum(F.col("n") - F.col("words")) * F.log(F.lit(backoff))
-    g = g.groupBy("doc", "text_hash").agg(each.alias("_sum"), F.sum("words").alias("_words"))
-    x = docs.select("doc_id", "doc", "text_hash", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(g, ["doc", "text_hash"], "left")
-    total = F.coalesce(F.col("_sum") * F.col("n_words") / F.col("_words"), F.lit(0.0))
-    return x.select("doc_id", "n_words", F.round(total, 4).alias("log_score"), F.round(F.when(F.col("n_words") > 0, total / F.col("n_words")), 4).alias("mean_log_score"))
+    size = text_bytes(docs)
+    dealt = blocks(docs.select("doc_id", "text"), size)
+    if corpus is None:
+        ranges = 1 + size // RANGE
+        asked = requests(dealt, order, ranges, True)
+    else:
+        more = text_bytes(corpus)
+        ranges = 1 + (size + more) // RANGE
+        told = requests(blocks(corpus.select(F.lit(None).alias("doc_id"), "text"), more), order, ranges, True)
+        asked = requests(dealt, order, ranges, False).unionByName(told.withColumn("block", -1 - F.col("block")))
+
+    def answer(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        _, total, slots, _ = _totals(b)
+        rows = [(key[0], block, planes(total[s])) for block, s in zip(b["block"], slots) if block >= 0]
+        return pd.DataFrame(rows, columns=["range", "block", "c"])
+
+    def score(key: tuple, b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        g = Grams(b["text"].tolist(), order, Hashes())
+        h, _ = g.asked()
+        c = np.concatenate([values(x) for x in answers.sort_values("range")["c"]]).astype(float)
+        if len(c) != len(h):
+            raise RuntimeError(f"block {key[0]} asked for {len(h)} n-grams and has {len(c)} answers")
+        s, n = g.scores(h, c, backoff), g.sizes
+        mean = np.divide(s, n, out=np.full(len(s), np.nan), where=n > 0)
+        return pd.DataFrame({"doc_id": b["doc_id"], "n_words": n, "s": s, "m": mean})
+
+    answers = asked.groupBy("range").applyInPandas(answer, "range int, block int, c binary")
+    kind = dict(docs.dtypes)["doc_id"]
+    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, f"doc_id {kind}, n_words long, s double, m double")
+    return out.select("doc_id", "n_words", F.round("s", 4).alias("log_score"), F.round(F.nanvl("m", F.lit(None)), 4).alias("mean_log_score"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return scores(docs, gains(counts(docs)))
+    return scores(table(spark, sf_dir, "documents"))
 
 
 SQL = r"""
@@ -159,8 +211,8 @@ p as (select r, ws, unnest(range(1, len(ws) + 1)) as i from d),
 x as (select r, ws[i] as w, case when i > 1 then ws[i-1] end as v, case when i > 2 then ws[i-2] end as u from p),
 c1 as (select w, count(*)::double as c from x group by w),
 n as (select count(*)::double as n from x),
-c2 as (select v, w, count(*)::double as c from x where v is not null group by all having count(*) >= 2),
-c3 as (select u, v, w, count(*)::double as c from x where u is not null group by all having count(*) >= 2),
+c2 as (select v, w, count(*)::double as c from x where v is not null group by all),
+c3 as (select u, v, w, count(*)::double as c from x where u is not null group by all),
 s as (select x.r, case when c3.c is not null then ln(c3.c / b.c) when c2.c is not null then ln(0.4::double ** (x.u is not null)::int::double) + ln(c2.c / a.c)
         else ln(0.4::double ** ((x.u is not null)::int + (x.v is not null)::int)::double) + ln(c1.c / n.n) end as g
       from x join c1 on c1.w = x.w cross join n left join c2 on c2.v = x.v and c2.w = x.w left join c3 on c3.u = x.u and c3.v = x.v and c3.w = x.w

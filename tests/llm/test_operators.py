@@ -134,22 +134,49 @@ def test_html_sibling_holders(spark):
     assert html_texts(spark, pages) == ["\n".join([a, b, c, d, f"{d} {e}", f"{e}."]) for a, b, c, d, e in t]
 
 
-def test_lm(docs, texts):
-    got = by_id(lm.scores(docs, lm.gains(lm.counts(docs))))
-    low = [[w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] for t in texts]
-    c = collections.Counter(tuple(w[i : i + k]) for w in low for k in (1, 2, 3) for i in range(len(w) - k + 1))
-    total = sum(map(len, low))
+def backoff_score(w, c, total):
+    s = 0.0
+    for at in range(len(w)):
+        f = 1.0
+        for k in range(min(at, 2), -1, -1):
+            g = tuple(w[at - k : at + 1])
+            if c[g]:
+                s += np.log(f * c[g] / (c[g[:-1]] if k else total))
+                break
+            f *= 0.4
+    return s
+
+
+def ngram_counts(low):
+    return collections.Counter(tuple(w[i : i + k]) for w in low for k in (1, 2, 3) for i in range(len(w) - k + 1)), sum(map(len, low))
+
+
+def lower_words(texts):
+    return [[w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] for t in texts]
+
+
+def test_lm(docs, texts, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE", 20_000)
+    got, low = by_id(lm.scores(docs)), lower_words(texts)
+    c, total = ngram_counts(low)
     for i, w in enumerate(low):
-        s = 0.0
-        for at in range(len(w)):
-            f = 1.0
-            for k in range(min(at, 2), -1, -1):
-                g = tuple(w[at - k : at + 1])
-                if k == 0 or c[g] >= 2:
-                    s += np.log(f * c[g] / (c[g[:-1]] if k else total))
-                    break
-                f *= 0.4
-        assert got[i]["n_words"] == len(w) and abs(got[i]["log_score"] - s) < 1e-3
+        assert got[i]["n_words"] == len(w) and abs(got[i]["log_score"] - backoff_score(w, c, total)) < 1e-3
+        assert (got[i]["mean_log_score"] is None) == (not w)
+    table = collections.Counter(r["c"] for r in lm.counts(docs).collect())
+    assert table == collections.Counter(c.values()) + collections.Counter([total])
+
+
+def test_lm_of_another_corpus(spark, docs, texts):
+    """Texts that the corpus lacks n-grams and words of back off; null ids, repeated rows and clashing columns stay what they are."""
+    low = lower_words(texts)
+    c, total = ngram_counts(low)
+    new = [" ".join(w[:40][::-1]) + " unseen word " + " ".join(w[5:9]) for w in low if len(w) > 20] + [None, "", "unseen"]
+    rows = [(None if i % 5 == 0 else i, t, "h", 1, 2) for i, t in enumerate(new)] * 2
+    got = lm.scores(spark.createDataFrame(rows, "doc_id long, text string, h string, block int, n int"), corpus=docs).collect()
+    order = lambda x: (str(x[0]), x[1], x[2])
+    want = sorted(((i, len(w), float(backoff_score(w, c, total))) for (i, *_), w in zip(rows, lower_words([t for _, t, *_ in rows]))), key=order)
+    got = sorted(((r["doc_id"], r["n_words"], r["log_score"]) for r in got), key=order)
+    assert len(got) == len(want) and all(x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-3 for x, y in zip(got, want))
 
 
 def test_embeddings(spark):
@@ -317,7 +344,7 @@ def test_mixing(docs, texts):
 def test_empty_tables(spark, docs, op):
     none = docs.where("false")
     out = {
-        "quality": lambda: quality.quality_filter(none), "lm": lambda: lm.scores(none, lm.gains(lm.counts(none))), "suffixes": lambda: suffixes.without_repeats(none),
+        "quality": lambda: quality.quality_filter(none), "lm": lambda: lm.scores(none), "suffixes": lambda: suffixes.without_repeats(none),
         "packing": lambda: packing.pack(packing.pieces(none)), "simhash": lambda: simhash.keep_one(none), "secrets": lambda: secrets.scan(none, secrets.train(none)), "mixing": lambda: mixing.mixed_documents(none),
         "toxicity": lambda: toxicity.toxicity(none, *toxicity.teach(none, spark.createDataFrame([], "doc_id long, toxic int"))),
         "html": lambda: htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")),
