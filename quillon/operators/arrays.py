@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Span of idx that one window task sorts; only one row per span meets in a single task.
+#: Rows of a span of idx, which one window task sorts; only one row per span meets in a single task.
 BLOCK = 1 << 20
 
 
-def _blocks(a: DataFrame, block: int) -> DataFrame:
-    return a.withColumn("_b", F.floor(F.col("idx") / block))
+def _blocks(a: DataFrame, block: int | None) -> DataFrame:
+    """a with its span _b: of `block` in idx, by default as wide as holds BLOCK rows on average, so that gaps in idx do not matter."""
+    if block is None:
+        low, high, n = a.agg(F.min("idx"), F.max("idx"), F.count("*")).first()
+        block = max(1, (high - low + 1) * BLOCK // n) if n else BLOCK
+    return a.withColumn("_b", F.expr(f"floor(idx / {block})"))
 
 
-def cumsum(a: DataFrame, block: int = BLOCK) -> DataFrame:
+def cumsum(a: DataFrame, block: int | None = None) -> DataFrame:
     """Inclusive prefix sums (idx, value) in the order of idx.
 
     Sums within spans of idx, plus the sum of earlier spans: the window without a key runs over one row
@@ -28,7 +32,7 @@ def cumsum(a: DataFrame, block: int = BLOCK) -> DataFrame:
     return a.withColumn("_run", run).join(base, "_b").select("idx", (F.coalesce("_run", F.lit(0)) + F.col("_base")).alias("value"))
 
 
-def stencil(a: DataFrame, f: Callable[[Column, Column, Column], Column], block: int = BLOCK) -> DataFrame:
+def stencil(a: DataFrame, f: Callable[[Column, Column, Column], Column], block: int | None = None) -> DataFrame:
     """f(previous, this, next) for each element of (idx, value); the first and the last keep their value.
 
     Neighbours across spans come from a table of each span's first and last value.

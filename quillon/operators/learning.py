@@ -1,15 +1,19 @@
 """Learning over samples with an array `features`: library calls and programs that iterate on the driver.
 
-Each iteration is one aggregation over the samples; only sums reach the driver. Cache the samples for many iterations.
+Each iteration is one aggregation over the samples; only sums reach the driver. Loops hold the samples while they run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import argmin, distance, dot
+from ..functions.columns import dot
 from .linalg import reduce_products
 
 
@@ -23,12 +27,23 @@ def linear_step(x: DataFrame, w: np.ndarray, rate: float) -> np.ndarray:
     return w - rate * reduce_products(x, errors, _features(w.shape[1]))
 
 
+@contextmanager
+def held(x: DataFrame):
+    """x in memory or on disk for the passes of one loop."""
+    x = x.persist()
+    try:
+        yield x
+    finally:
+        x.unpersist()
+
+
 def linear_descent(x: DataFrame, width: int, responses: int, iterations: int, rate: float | None = None) -> np.ndarray:
     """Weights (responses by features) from zeros; the default rate is 0.01 by the number of samples."""
     w = np.zeros((responses, width))
-    rate = 0.01 / max(1, x.count()) if rate is None else rate
-    for _ in range(iterations):
-        w = linear_step(x, w, rate)
+    with held(x.select("features", "labels")) as x:
+        rate = 0.01 / max(1, x.count()) if rate is None else rate
+        for _ in range(iterations):
+            w = linear_step(x, w, rate)
     return w
 
 
@@ -39,23 +54,47 @@ def logistic_step(x: DataFrame, w: np.ndarray) -> np.ndarray:
     return w - reduce_products(x, [pull], _features(len(w)))[0]
 
 
+def logistic_regression(x: DataFrame, width: int, iterations: int, start: np.ndarray | None = None) -> np.ndarray:
+    """So many logistic steps, from zeros unless start is given."""
+    w = np.zeros(width) if start is None else start
+    with held(x.select("features", "label")) as x:
+        for _ in range(iterations):
+            w = logistic_step(x, w)
+    return w
+
+
 def kmeans_step(x: DataFrame, centres: np.ndarray) -> np.ndarray:
-    """Means of the samples nearest to each centre, the first of equally near ones; a centre without samples stays."""
-    near = x.withColumn("_c", argmin(F.array(*(distance(F.col("features"), list(c)) for c in centres))))
-    means = near.groupBy("_c").agg(F.array(*(F.avg(v) for v in _features(centres.shape[1]))).alias("m")).collect()
-    new = centres.copy()
-    for r in means:
-        if r["_c"]:
-            new[r["_c"] - 1] = r["m"]
+    """Means of the samples nearest to each centre, the first of equally near ones; a centre without samples stays.
+
+    Each task adds up its samples by centre; what is shuffled is one row per task and centre.
+    """
+    k, d = centres.shape
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros((k, d)), np.zeros(k, np.int64)
+        for b in batches:
+            for at in range(0, len(b), max(1, (1 << 20) // (k * d))):
+                v = np.stack(b["features"].iloc[at : at + max(1, (1 << 20) // (k * d))].to_list()).astype(float)
+                c = ((v[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+                np.add.at(total, c, v)
+                n += np.bincount(c, minlength=k)
+        if n.any():
+            yield pd.DataFrame({"c": np.flatnonzero(n), "n": n[n > 0], "s": list(total[n > 0])})
+
+    part = x.select("features").mapInPandas(sums, "c long, n long, s array<double>").select("c", "n", F.posexplode("s").alias("j", "v"))
+    new = centres.astype(float).copy()
+    for r in part.groupBy("c", "j").agg((F.sum("v") / F.sum("n")).alias("m")).collect():
+        new[r["c"], r["j"]] = r["m"]
     return new
 
 
 def kmeans(x: DataFrame, k: int, iterations: int, start: np.ndarray | None = None, order: str = "idx", seed: int = 1) -> np.ndarray:
     """Exactly `iterations` Lloyd steps from `start`, or from k random samples by a seeded hash of `order`. Returns k by features."""
-    if start is None:
-        start = np.array([r[0] for r in x.orderBy(F.xxhash64(F.lit(seed), F.col(order)), order).limit(k).select("features").collect()], float)
-    for _ in range(iterations):
-        start = kmeans_step(x, start)
+    with held(x) as x:
+        if start is None:
+            start = np.array([r[0] for r in x.orderBy(F.xxhash64(F.lit(seed), F.col(order)), order).limit(k).select("features").collect()], float)
+        for _ in range(iterations):
+            start = kmeans_step(x, start)
     return start
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from ..operators import aggregates as ag
 from ..operators import arrays as ar
 from ..operators import learning as ml
 from ..operators import linalg as la
+from ..operators import loops
 from ..operators import relational as rel
 from ..sources import tables as src
 from . import bigbench as bb
@@ -122,9 +125,9 @@ def join_filter_pushdown(spark, d):
     return rel.filter_rows(x, (F.col("p_size") > 40) & (F.col("l_quantity") > 45))
 
 
-@query("select e.user_id as u, e.event_id as a, f.event_id as b from events e join events f on e.user_id = f.user_id where e.event_type = 'purchase' and f.event_type = 'signup' and e.user_id < 5")
+@query("select e.user_id as u, e.event_id as a, f.event_id as b from events e join events f on e.user_id = f.user_id where e.event_type = 'purchase' and f.event_type = 'signup'")
 def join_many_to_many(spark, d):
-    e = t(spark, d, "events").where("user_id < 5")
+    e = t(spark, d, "events")
     a = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("a"))
     return rel.join(a, e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("b")), "user_id", "user_id", "u")
 
@@ -256,16 +259,58 @@ def array_concat(spark, d):
     return ar.concat(v, v.withColumn("value", F.col("value") * 2))
 
 
-@query("select 'first' as part, count(*) as n, round(sum(value), 2) as s from events union all select 'text', count(*), round(sum(value), 2) from events")
+def place(spark, name: str) -> str:
+    return f"{src.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select row_number() over (order by event_id) - 1 as idx, value from events")
 def text_round_trip(spark, d):
-    import tempfile
-    import uuid
+    """Written in parts of unequal size, and read in order."""
+    src.write_text(values(spark, d), path := place(spark, "text"))
+    return src.read_text(spark, path)
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    v = values(spark, d)
-    src.write_text(v, path := f"{folder}/text-{uuid.uuid4().hex}")
-    sums = lambda x, name: x.agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("s")).select(F.lit(name).alias("part"), "n", "s")
-    return sums(v, "first").unionByName(sums(src.read_text(spark, path), "text"))
+
+@query("select event_id as idx, value from events")
+def array_round_trip(spark, d):
+    """Two variables of one file, of which the second replaces nothing of the first."""
+    v, file = values(spark, d), place(spark, "arrays")
+    src.write_array(v, file, "/a")
+    src.write_array(v.withColumn("value", F.lit(0.0)), file, "/b")
+    return src.read_array(spark, file, "/a")
+
+
+@query("select p_partkey, p_size = 7 as missing, coalesce(nullif(p_size, 7), 0) as p_size, p_brand from part")
+def csv_with_missing(spark, d):
+    """Values of 7 are written as the sentinel and read as nulls."""
+    x = t(spark, d, "part", "p_partkey", "p_size", "p_brand").withColumn("p_size", F.when(F.col("p_size") == 7, fn.INT_MAX).otherwise(F.col("p_size")))
+    x.write.csv(path := place(spark, "csv"))
+    x = src.read_csv_table(spark, path, {"p_partkey": "Int64", "p_size": "Int32", "p_brand": "String"}, missing=str(fn.INT_MAX))
+    return x.select("p_partkey", F.col("p_size").isNull().alias("missing"), F.coalesce("p_size", F.lit(0)).alias("p_size"), "p_brand")
+
+
+@query("select n_nationkey, n_regionkey, n_name from nation")
+def table_sink(spark, d):
+    src.write_table(t(spark, d, "nation"), path := place(spark, "table"), ["n_regionkey"])
+    return spark.read.parquet(path).select("n_nationkey", F.col("n_regionkey").cast("int").alias("n_regionkey"), "n_name")
+
+
+@query("select i as idx, 0.0::double as zero, 1.0::double as one from range(1000) r(i)")
+def constant_arrays(spark, d):
+    return src.zeros(spark, 1000).withColumnRenamed("value", "zero").join(src.ones(spark, 1000).withColumnRenamed("value", "one"), "idx")
+
+
+@query("select 5000::bigint as n, true as bounded, true as exact")
+def generated_samples(spark, d):
+    """Random samples whose labels are exact functions of their features."""
+    x = src.regression_data(spark, 5000, [[1.0, -2.0, 0.5], [0.0, 1.0, 1.0]], seed=3)
+    f = F.col("features")
+    off = F.abs(f[0] - 2 * f[1] + 0.5 * f[2] - F.col("labels")[0]) + F.abs(f[1] + f[2] - F.col("labels")[1])
+    return x.agg(F.count("*").alias("n"), F.every(F.forall("features", lambda v: (v >= 0) & (v < 1))).alias("bounded"), F.every(off < 1e-12).alias("exact"))
+
+
+@query("select event_id % 100 as i, event_id // 100 as j, value from events")
+def reshape(spark, d):
+    return la.reshape(values(spark, d), 100)
 
 
 # Linear algebra
@@ -300,6 +345,37 @@ def matrix_multiply(spark, d):
     return la.multiply(m, la.transpose(m)).select("i", "j", F.round("value", 2).alias("value"))
 
 
+def grid(spark, d):
+    """A matrix of 50 rows and 20 columns."""
+    return t(spark, d, "orders").groupBy((F.col("o_custkey") % 50).alias("i"), (F.col("o_orderkey") % 20).alias("j")).agg(F.sum(F.col("o_totalprice") / 1000).alias("value"))
+
+
+GRID = "with m as (select o_custkey % 50 as i, o_orderkey % 20 as j, sum(o_totalprice / 1000) as v from orders group by all)"
+
+
+@query(f"{GRID} select a.i as i, b.i as j, round(sum(a.v * b.v), 2) as value from m a join m b using (j) group by 1, 2")
+def matrix_multiply_blocks(spark, d):
+    """By blocks of 16, stored and read again in between."""
+    m = grid(spark, d)
+    la.write_blocks(la.to_blocks(m, 16), path := place(spark, "blocks"))
+    x = la.multiply_blocks(la.read_blocks(spark, path), la.to_blocks(la.transpose(m), 16), 16)
+    return la.from_blocks(x, 16).select("i", "j", F.round("value", 2).alias("value"))
+
+
+@query(f"{GRID} select i as idx, round(sum(v * j / 10), 3) as value from m group by 1")
+def matrix_vector(spark, d):
+    v = spark.range(20).select(F.col("id").alias("idx"), (F.col("id") / 10).alias("value"))
+    return la.product_with_vector(grid(spark, d), v).select("idx", F.round("value", 3).alias("value"))
+
+
+@query("select i::bigint as i, j::bigint as j, round(sum(v[i + 1] * v[j + 1]), 4) as value from (select list_transform(embedding, lambda v: v::double) as v from embeddings), range(64) a(i), range(64) b(j) group by 1, 2")
+def gemm_reduce_wide(spark, d):
+    """All products of 64 features, 4,096 sums."""
+    f = [F.col("features")[k] for k in range(64)]
+    m = la.reduce_products(vectors(spark, d), f, f)
+    return spark.createDataFrame([(i, j, round(float(m[i, j]), 4)) for i in range(64) for j in range(64)], "i long, j long, value double")
+
+
 # Learning
 
 
@@ -323,29 +399,63 @@ def logreg_step(spark, d):
     return matrix(spark, ml.logistic_step(samples(spark, d), np.array([0.1, -0.2, 0.05])))
 
 
-def kmeans_sql(k: int, steps: int, first: int = 8) -> str:
-    """Lloyd steps over the first dimensions of the embeddings, from the vectors of least vec_id."""
-    ctes = [f"x as (select vec_id, list_transform(embedding[1:{first}], lambda v: v::double) as e from embeddings)", f"c0 as (select row_number() over (order by vec_id) as c, e as m from x order by vec_id limit {k})"]
+def logistic_sql(steps: int) -> str:
+    ctes = [f"s as (select x0 / n as x0, x1 / n as x1, x2 / n as x2, y from {S}, (select count(*)::double as n from lineitem))", "w0 as (select 0.0::double as a0, 0.0::double as a1, 0.0::double as a2)"]
+    for k in range(steps):
+        pull = "(1 / (1 + exp(-y * (a0 * x0 + a1 * x1 + a2 * x2))) - 1) * y"
+        ctes.append(f"w{k + 1} as (select " + ", ".join(f"any_value(a{j}) - sum({pull} * x{j}) as a{j}" for j in range(3)) + f" from s, w{k})")
+    return "with " + ", ".join(ctes) + f" select 0::bigint as i, unnest(range(3)) as j, round(unnest([a0, a1, a2]), 6) as value from w{steps}"
+
+
+@query(logistic_sql(4))
+def logreg_lib(spark, d):
+    """A whole fit; features by the number of samples, as the steps have a rate of 1."""
+    x = samples(spark, d)
+    n = x.count()
+    return matrix(spark, ml.logistic_regression(x.withColumn("features", F.transform("features", lambda v: v / n)), 3, 4))
+
+
+@query(descent_sql(4, 0.01))
+def checkpoint_restart(spark, d):
+    """Four steps of gradient descent: the loop stops after two, and a second one goes on from the state that was saved."""
+    x = samples(spark, d)
+    rate, folder = 0.01 / x.count(), place(spark, "loop")
+    step = lambda i, w: ml.linear_step(x, w, rate)
+    loops.run(spark, step, np.zeros((2, 3)), 2, folder, every=0, keep=True)
+    return matrix(spark, loops.run(spark, step, None, 4, folder, every=0, restart=True))
+
+
+def kmeans_sql(x: str, k: int, steps: int, width: int) -> str:
+    """Lloyd steps over x (id, e), from the samples of least id; k and the steps are small."""
+    ctes = [f"x as ({x})", f"c0 as (select row_number() over (order by id) as c, e as m from x order by id limit {k})"]
     for s in range(steps):
-        ctes.append(f"n{s} as (select vec_id, arg_min(c, (list_distance(e, m), c)) as c, any_value(e) as e from x, c{s} group by vec_id)")
-        ctes.append(f"c{s + 1} as (select c, [" + ", ".join(f"avg(e[{j}])" for j in range(1, first + 1)) + f"] as m from n{s} group by c)")
-    return "with " + ", ".join(ctes) + f" select c - 1 as i, unnest(range({first})) as j, round(unnest(m), 6) as value from c{steps}"
+        ctes.append(f"n{s} as (select id, arg_min(c, (list_distance(e, m), c)) as c, any_value(e) as e from x, c{s} group by id)")
+        ctes.append(f"b{s} as (select c, [" + ", ".join(f"avg(e[{j}])" for j in range(1, width + 1)) + f"] as m from n{s} group by c)")
+        ctes.append(f"c{s + 1} as (select c{s}.c, coalesce(b{s}.m, c{s}.m) as m from c{s} left join b{s} on b{s}.c = c{s}.c)")
+    return "with " + ", ".join(ctes) + f" select c - 1 as i, unnest(range({width})) as j, round(unnest(m), 6) as value from c{steps}"
+
+
+VECTORS = "select vec_id as id, list_transform(embedding, lambda v: v::double) as e from embeddings"
 
 
-def vectors(spark, d, first: int = 8):
-    return t(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.transform(F.slice("embedding", 1, first), lambda v: v.cast("double")).alias("features"), "label")
+def vectors(spark, d):
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.transform("embedding", lambda v: v.cast("double")).alias("features"), "label")
 
 
-@query(kmeans_sql(5, 1))
+def first_samples(x: DataFrame, k: int) -> np.ndarray:
+    return np.array([r["features"] for r in x.orderBy("idx").limit(k).select("features").collect()])
+
+
+@query(kmeans_sql(VECTORS, 5, 1, 64))
 def kmeans_step(spark, d):
     x = vectors(spark, d)
-    return matrix(spark, ml.kmeans_step(x, np.array([r["features"] for r in x.orderBy("idx").limit(5).collect()])))
+    return matrix(spark, ml.kmeans_step(x, first_samples(x, 5)))
 
 
-@query(kmeans_sql(5, 4))
+@query(kmeans_sql(VECTORS, 5, 4, 64))
 def kmeans_lib(spark, d):
-    x = vectors(spark, d).cache()
-    return matrix(spark, ml.kmeans(x, 5, 4, np.array([r["features"] for r in x.orderBy("idx").limit(5).collect()])))
+    x = vectors(spark, d)
+    return matrix(spark, ml.kmeans(x, 5, 4, first_samples(x, 5)))
 
 
 @query()
@@ -432,16 +542,16 @@ def q05_model(spark, d):
     return matrix(spark, ml.linear_regression(bb.q05_samples(x, 3, 1), 9, 1))
 
 
-@query()
+@query(kmeans_sql(f"select cid as id, [cid::double, (19750 - recency < 60)::int::double, frequency::double, totalspend] as e from ({ORACLES['q25']})", 8, 5, 4))
 def q25_model(spark, d):
     x = bb.q25_samples(q25(spark, d), 19750).withColumn("idx", F.col("cid"))
-    return matrix(spark, ml.kmeans(x.cache(), 8, 5))
+    return matrix(spark, ml.kmeans(x, 8, 5, first_samples(x, 8)))
 
 
-@query()
+@query(kmeans_sql("select ss_customer_sk as id, [" + ", ".join(f"{c}::double" for c in ("ss_item_count", *(f"id{k}" for k in range(1, 16)))) + f"] as e from ({ORACLES['q26']})", 8, 5, 16))
 def q26_model(spark, d):
     x = q26(spark, d).select(F.col("ss_customer_sk").alias("idx"), fn.vector("ss_item_count", *(f"id{k}" for k in range(1, 16))).alias("features"))
-    return matrix(spark, ml.kmeans(x.cache(), 8, 5))
+    return matrix(spark, ml.kmeans(x, 8, 5, first_samples(x, 8)))
 
 
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,17 @@ def default_path(name: str = "") -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. A session on one machine that names none gets one of its own; any other raises."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-"))
+    return sc.getCheckpointDir()
+
+
 def read_table(spark: SparkSession, path: str, columns: dict[str, str | T.DataType]) -> DataFrame:
     """The declared columns of a Parquet table and no others. A declared column that the file lacks or holds as another type raises ValueError."""
     df = spark.read.parquet(path)
@@ -55,8 +67,17 @@ def write_text(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def read_text(spark: SparkSession, path: str, width: int = 1, sep: str = ",") -> DataFrame:
-    """Lines of numbers as (idx, value), or (idx, features) if width is over 1; idx grows in file order but has gaps."""
-    lines = spark.read.text(path).withColumn("idx", F.monotonically_increasing_id())
+    """Lines of numbers as (idx, value), or (idx, features) if width is over 1; idx counts from 0 by name of file and line.
+
+    Files are read in splits, which tasks take by size, not by name. A first pass counts the lines of each
+    split; the running sums of those counts, a row per split, are what the lines of a split are numbered from.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    lines = spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("_id"))
+    per = lines.groupBy("_file", "_start").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_base"))
+    lines = lines.join(base, ["_file", "_start"]).withColumn("idx", F.col("_base") + F.col("_id"))
     if width == 1:
         return lines.select("idx", F.col("value").cast("double").alias("value"))
     return lines.select("idx", F.transform(F.split("value", sep), lambda x: F.trim(x).cast("double")).alias("features"))

@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -9,6 +10,8 @@ from quillon.operators import arrays as ar
 from quillon.operators import learning as ml
 from quillon.operators import linalg as la
 from quillon.operators import loops
+from quillon.plans import bigbench as bb
+from quillon.plans import catalog
 from quillon.sources import tables as src
 
 
@@ -62,7 +65,8 @@ def test_linear_algebra(spark):
     for i, j, v in la.multiply(e(a), e(b)).collect():
         got[i, j] = v
     assert (got == a @ b).all()
-    assert (la.multiply_blocks(e(a), e(b), 2).toLocalMatrix().toArray() == a @ b).all()
+    got = la.from_blocks(la.multiply_blocks(la.to_blocks(e(a), 2), la.to_blocks(e(b), 2), 2), 2).collect()
+    assert {(r["i"], r["j"]): r["value"] for r in got} == {(i, j): v for (i, j), v in np.ndenumerate(a @ b) if v}
 
 
 def test_learning(spark):
@@ -104,3 +108,48 @@ def test_loop_restarts(spark, tmp_path):
     seen = []
     out = loops.run(spark, lambda i, s: seen.append(i) or s | {"n": s["n"] + i}, {"n": 0}, 6, f"{tmp_path}/c", every=0, restart=True)
     assert (seen, out["n"]) == ([3, 4, 5], 15) and not (tmp_path / "c").exists()
+
+
+def test_text_files_of_unequal_size_keep_their_order(spark, tmp_path):
+    """Tasks take files by size; lines count by name of file all the same, and so do the splits of one long file."""
+    at = 0
+    for k, n in enumerate((10, 1000, 100, 40_000)):
+        (tmp_path / f"part-{k}.txt").write_text("".join(f"{x}\n" for x in range(at, at + n)))
+        at += n
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        got = src.read_text(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["idx"], r["value"]) for r in got) == [(x, float(x)) for x in range(at)]
+
+
+def test_sparse_arrays(spark, monkeypatch):
+    """Gaps in idx do not give each row a span of its own."""
+    monkeypatch.setattr(ar, "BLOCK", 100)
+    rnd = np.random.default_rng(1)
+    idx = np.sort(rnd.choice(10**12, 3000, replace=False)).tolist()
+    a = spark.createDataFrame([(i, 1.0) for i in idx], "idx long, value double").repartition(5)
+    assert ar._blocks(a, None).select("_b").distinct().count() <= 40
+    assert [r["value"] for r in ar.cumsum(a).orderBy("idx").collect()] == list(range(1, 3001))
+
+
+def test_wide_products(spark):
+    rnd = np.random.default_rng(2)
+    f = rnd.normal(size=(300, 40))
+    x = spark.createDataFrame([(v.tolist(), [float(v[:3].sum())]) for v in f] + [(None, None)], "features array<double>, labels array<double>")
+    cols = [F.col("features")[k] for k in range(40)]
+    assert np.allclose(la.reduce_products(x, cols, cols), f.T @ f)
+    w = ml.linear_regression(x, 40, 1)
+    assert np.allclose(w[:, 0], [0, 1, 1, 1] + [0] * 37, atol=1e-9)
+
+
+def test_q05_model(spark):
+    """The regression of the whole program against least squares of the same samples."""
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    x = bb.q05_samples(catalog.q05(spark, d).withColumns({"cd_education_status": F.col("n_regionkey"), "cd_gender": F.col("n_regionkey") % 2}), 3, 1).collect()
+    a, y = np.array([[1.0, *r["features"]] for r in x]), np.array([r["labels"] for r in x])
+    got = np.array([r["value"] for r in sorted(catalog.QUERIES["q05_model"](spark, d).collect(), key=lambda r: r["i"])])
+    assert np.allclose(((a @ got - y[:, 0]) ** 2).sum(), ((a @ np.linalg.lstsq(a, y, rcond=None)[0] - y) ** 2).sum(), rtol=1e-6)
