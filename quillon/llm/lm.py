@@ -1,13 +1,14 @@
 """Operator 3: language-model scores with stupid backoff, from n-gram count tables joined to exploded n-grams.
 
 Rows of n-grams are packed: all that a block of documents asks of one range of hashes is one row, whose
-sorted 64-bit hashes are kept as differences, plane by plane of bytes, so that Spark's compression leaves
-some five and a half bytes of an n-gram.
+sorted hashes are kept as differences, plane by plane of bytes, some five bytes an n-gram.
 """
 
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from .common import table, tasks
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text of a block of documents, at most and at least, and of all texts per range of hashes.
 BLOCK, LEAST, RANGE = 16 << 20, 1 << 20, 4 << 20
+#: Bits of a hash beyond those that number all n-grams: an n-gram takes another's count once in 2 ** SPARE.
+SPARE = 28
 #: Words whose hashes a task remembers.
 MEMORY = 1 << 19
 #: The empty n-gram, which every word has as a context.
@@ -55,22 +58,41 @@ class Hashes:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Non-negative 64-bit values as bytes: all least bytes, then all second ones, and so on."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit values as bytes: how many, the length of each plane of bytes, least first, and the planes. Planes of small values are Huffman-coded, those of zeros left out."""
+    out = []
+    for p in np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T):
+        b = p.tobytes() if p.any() else b""
+        if b and p.mean() < 64:
+            z = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+            b = min(z.compress(b) + z.flush(), b, key=len)
+        out.append(b)
+    return struct.pack("<9I", len(x), *map(len, out)) + b"".join(out)
 
 
 def values(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+    n, *sizes = struct.unpack_from("<9I", b)
+    x, at = np.zeros((8, n), np.uint8), 36
+    for k, size in enumerate(sizes):
+        if size:
+            x[k] = np.frombuffer(b[at : at + size] if size == n else zlib.decompress(b[at : at + size], -15), np.uint8)
+            at += size
+    return np.ascontiguousarray(x.T).reshape(-1).view(np.uint64)
+
+
+def width(size: int, order: int) -> int:
+    """Bits of a hash that are kept for so many bytes of text: SPARE more than their n-grams need to be numbered, 64 at most."""
+    return min(64, SPARE + (size * order // 4).bit_length())
 
 
 class Grams:
-    """The n-grams of a block of texts: of each order, the hash of the one that ends at each word, if the text has it."""
+    """The n-grams of a block of texts: of each order, the hash (its leading bits) of the one that ends at each word, if the text has it."""
 
-    def __init__(self, texts: list[str | None], order: int, hashes: Hashes) -> None:
+    def __init__(self, texts: list[str | None], order: int, bits: int, hashes: Hashes) -> None:
         parts = [hashes.of(t) if t else np.zeros(0, np.uint64) for t in texts]
         self.sizes = np.array([len(x) for x in parts], np.int64)
         word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         place = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.empty, drop = EMPTY >> np.uint64(64 - bits), np.uint64(64 - bits)
         self.ends, self.hash, self.slot = [], [], []  # of each order: positions, different hashes in order, slot of each position's
         h = word
         for k in range(1, order + 1):
@@ -79,14 +101,14 @@ class Grams:
                 longer = np.zeros_like(h)
                 longer[at] = _mix(h[at - 1], word[at], k)
                 h = longer
-            u, slot = np.unique(h[at], return_inverse=True)
+            u, slot = np.unique(h[at] >> drop, return_inverse=True)
             self.ends.append(at)
             self.hash.append(u)
             self.slot.append(slot)
 
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
         """All different hashes of the block, sorted, the empty n-gram's among them, and how often each occurs."""
-        h = np.concatenate([np.array([EMPTY]), *self.hash])
+        h = np.concatenate([np.array([self.empty]), *self.hash])
         n = np.concatenate([np.array([self.sizes.sum()]), *(np.bincount(s, minlength=len(u)) for s, u in zip(self.slot, self.hash))])
         order = np.argsort(h, kind="stable")
         return h[order], n[order]
@@ -96,7 +118,7 @@ class Grams:
         count = np.full((len(self.hash), int(self.sizes.sum())), 0.0)
         for k, (at, u, slot) in enumerate(zip(self.ends, self.hash, self.slot)):
             count[k, at] = c[np.searchsorted(h, u)][slot]
-        every = float(c[np.searchsorted(h, EMPTY)])
+        every = float(c[np.searchsorted(h, self.empty)])
         total, open_ = np.zeros(count.shape[1]), np.ones(count.shape[1], bool)
         longest = np.zeros(count.shape[1], np.int64)
         for k, at in enumerate(self.ends):
@@ -115,12 +137,12 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(most)).cast("int").alias("block"), "doc_id", "text")
 
 
-def requests(dealt: DataFrame, order: int, ranges: int, counted: bool) -> DataFrame:
+def requests(dealt: DataFrame, order: int, bits: int, ranges: int, counted: bool) -> DataFrame:
     """(range, block, h, n): the n-grams of each block by range of their hashes; n holds their counts, or zeros unless counted."""
-    cuts = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+    cuts = np.array([(r << bits) // ranges for r in range(1, ranges)], np.uint64)
 
     def each(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        h, n = Grams(b["text"].tolist(), order, Hashes()).asked()
+        h, n = Grams(b["text"].tolist(), order, bits, Hashes()).asked()
         n = n.astype(np.uint64) * np.uint64(counted)
         edge = np.r_[0, np.searchsorted(h, cuts), len(h)].tolist()
         rows = [(r, key[0], planes(np.diff(h[s:e], prepend=np.uint64(0))), planes(n[s:e])) for r, (s, e) in enumerate(zip(edge, edge[1:])) if s < e]
@@ -150,7 +172,7 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
         h, total, _, _ = _totals(b)
         return pd.DataFrame({"h": h.view(np.int64), "c": total.astype(np.int64)})
 
-    return requests(blocks(docs, size), order, 1 + size // RANGE, True).groupBy("range").applyInPandas(each, "h long, c long")
+    return requests(blocks(docs, size), order, width(size, order), 1 + size // RANGE, True).groupBy("range").applyInPandas(each, "h long, c long")
 
 
 def scores(docs: DataFrame, corpus: DataFrame | None = None, backoff: float = BACKOFF, order: int = ORDER) -> DataFrame:
@@ -171,14 +193,12 @@ def scores(docs: DataFrame, corpus: DataFrame | None = None, backoff: float = BA
     """
     size = text_bytes(docs)
     dealt = blocks(docs.select("doc_id", "text"), size)
-    if corpus is None:
-        ranges = 1 + size // RANGE
-        asked = requests(dealt, order, ranges, True)
-    else:
-        more = text_bytes(corpus)
-        ranges = 1 + (size + more) // RANGE
-        told = requests(blocks(corpus.select(F.lit(None).alias("doc_id"), "text"), more), order, ranges, True)
-        asked = requests(dealt, order, ranges, False).unionByName(told.withColumn("block", -1 - F.col("block")))
+    more = text_bytes(corpus) if corpus is not None else 0
+    bits, ranges = width(size + more, order), 1 + (size + more) // RANGE
+    asked = requests(dealt, order, bits, ranges, corpus is None)
+    if corpus is not None:
+        told = requests(blocks(corpus.select(F.lit(None).alias("doc_id"), "text"), more), order, bits, ranges, True)
+        asked = asked.unionByName(told.withColumn("block", -1 - F.col("block")))
 
     def answer(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         _, total, slots, _ = _totals(b)
@@ -186,7 +206,7 @@ def scores(docs: DataFrame, corpus: DataFrame | None = None, backoff: float = BA
         return pd.DataFrame(rows, columns=["range", "block", "c"])
 
     def score(key: tuple, b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        g = Grams(b["text"].tolist(), order, Hashes())
+        g = Grams(b["text"].tolist(), order, bits, Hashes())
         h, _ = g.asked()
         c = np.concatenate([values(x) for x in answers.sort_values("range")["c"]]).astype(float)
         if len(c) != len(h):
