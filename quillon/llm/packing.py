@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import warnings
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,58 +15,33 @@ from pyspark.sql import functions as F
 
 from .common import durable, table
 
-#: Tokens of a sequence. A document's rest is cut at the last multiple of COARSE, so that lengths fit without rounding.
-CAPACITY, COARSE = 1024, 64
-#: Lengths by stock: (step, steps of a sequence, lengths). Coarse pieces count in COARSE tokens, the short ends in single tokens.
-STOCKS = ((COARSE, CAPACITY // COARSE, CAPACITY // COARSE), (1, CAPACITY, COARSE - 1))
-#: Md5 ranges within which pieces of a length are ranked.
-RANGES = 256
+#: Tokens of a sequence; step of the length classes and of the places at which a rest may be cut; steps of a sequence.
+CAPACITY, STEP = 1024, 16
+STEPS = CAPACITY // STEP
+#: Sequences that a pattern may fill together, and what a cut costs in sequences.
+TOGETHER, CUT = 2, 0.02
+#: Md5 ranges within which pieces of a length are ranked, at least; pieces that a range should hold.
+RANGES, PER_RANGE = 256, 20_000
 
 
 class Tokens:
-    """Token ids of texts, equal to those of the tokenizers library for byte_bpe_50k.json.
+    """Token ids of whole texts, equal to those of the tokenizers library for byte_bpe_50k.json."""
 
-    A text whose white space is single spaces and newlines between other characters is cut there, as the
-    pattern of the vocabulary cuts it too, and each distinct piece is encoded once per worker; any other
-    text is encoded whole. The memory of pieces is emptied when it holds `most` of them.
-    """
-
-    def __init__(self, path: str, most: int = 150_000) -> None:
+    def __init__(self, path: str) -> None:
         import base64
 
         import public_tokenizers
         import tiktoken
-        from regex import compile as pattern
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoder = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.plain = pattern(r"[ \n]\s|[ \n]\Z|\A[ \n]|\s[ \n]|[^\S \n]")
-        self.most, self.first, self.later = most, {}, {}  # pieces at the start of a line, and after a space
-
-    def packed(self, text: str) -> bytes:
-        return np.array(self.encoder.encode_ordinary(text), "<u4").tobytes()
+        self.encode = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
     def ids(self, text: str) -> np.ndarray:
-        if self.plain.search(text):
-            return np.frombuffer(self.packed(text), "<u4")
-        if len(self.first) + len(self.later) > self.most:
-            self.first.clear()
-            self.later.clear()
-        out: list[bytes] = []
-        first, later, newline = self.first, self.later, (198).to_bytes(4, "little")
-        for n, line in enumerate(text.split("\n")):
-            if n:
-                out.append(newline)
-            lead, *rest = line.split(" ")
-            if lead not in first:
-                first[lead] = self.packed(lead)
-            out.append(first[lead])
-            for w in rest:
-                if (x := later.get(w)) is None:
-                    x = later[w] = self.packed(" " + w)
-                out.append(x)
-        return np.frombuffer(b"".join(out), "<u4")
+        """The ids and a closing 0."""
+        x = array("I", self.encode(text))
+        x.append(0)
+        return np.frombuffer(x, np.uint32).astype("<u4", copy=False)
 
 
 _tokens: dict[str, Tokens] = {}
@@ -81,41 +59,52 @@ def tokens_of(path: str | None = None) -> Tokens:
 
 
 def pieces(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Cut each document (doc_id, text) into pieces of CAPACITY tokens, the largest multiple of COARSE in what is left, and an end.
+    """Cut each document (doc_id, text) into pieces of CAPACITY tokens and a rest, which may be the whole document.
 
     A document's tokens are the ids of its whole text, null as empty, and a closing 0, so even an empty
-    one has a piece. Columns doc_id, start, length, ids_crc32, doc_tokens, and ids when asked for.
+    one has a piece. Columns doc_id, start, length, ids_crc32, doc_tokens; of what could be cut, before and after: the
+    checksums of both parts of the piece for each multiple of STEP tokens, four bytes each, high ones first; and ids when asked for.
+    Repeated rows are documents of their own; other columns are not looked at.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = tokens_of(path)
+        tokens, crc = tokens_of(path), zlib.crc32
         for b in batches:
             out = []
             for doc, text in zip(b["doc_id"], b["text"]):
-                ids = np.append(tokens.ids(text if isinstance(text, str) else ""), np.uint32(0)).astype("<u4", copy=False)
-                cuts = [*range(0, len(ids), CAPACITY), len(ids)]
-                if cuts[-2] < (c := len(ids) // COARSE * COARSE) < len(ids):
-                    cuts.insert(-1, c)
-                for s, e in zip(cuts, cuts[1:]):
-                    p = ids[s:e]
-                    out.append((doc, s, len(p), zlib.crc32(p.tobytes()), len(ids), *([p.tolist()] if with_ids else [])))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]).astype({"doc_id": b["doc_id"].dtype})
+                ids = tokens.ids(text if isinstance(text, str) else "")
+                raw, n = memoryview(ids).cast("B"), len(ids)
+                for s in range(0, n, CAPACITY):
+                    e = min(s + CAPACITY, n)
+                    before, after = array("I"), array("I")
+                    if e - s <= CAPACITY - STEP:
+                        c = 0
+                        for k in range(s, e - STEP, STEP):
+                            c = crc(raw[4 * k : 4 * (k + STEP)], c)
+                            before.append(c)
+                            after.append(crc(raw[4 * (k + STEP) : 4 * e]))
+                    if sys.byteorder == "little":
+                        before.byteswap()
+                        after.byteswap()
+                    out.append((doc, s, e - s, crc(raw[4 * s : 4 * e]), n, before.tobytes(), after.tobytes(), *([ids[s:e].tolist()] if with_ids else [])))
+            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "before", "after", *(["ids"] if with_ids else [])]).astype({"doc_id": b["doc_id"].dtype})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids)
+    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, before binary, after binary" + ", ids array<long>" * with_ids)
 
 
-def knapsack(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: item k weighs k + 1. Best value and how many of each item."""
+def knapsack(values: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: item k weighs k + 1. For every room up to `room`, the best value and the item put in last (-1: none, one less is as good)."""
     best, last = np.zeros(room + 1), np.full(room + 1, -1)
-    n = len(values)
     for r in range(1, room + 1):
-        m = min(r, n)
-        at = values[:m] + best[r - 1 :: -1][:m] if r > 0 else values[:0]
+        m = min(r, len(values))
+        at = values[:m] + best[r - m : r][::-1]
         k = int(at.argmax())
-        best[r], last[r] = at[k], k
-        if best[r - 1] >= best[r]:
-            best[r], last[r] = best[r - 1], -1
+        best[r], last[r] = (at[k], k) if at[k] > best[r - 1] else (best[r - 1], -1)
+    return best, last
+
+
+def filled(last: np.ndarray, room: int, n: int) -> np.ndarray:
     counts, r = np.zeros(n, np.int64), room
     while r > 0:
         if last[r] < 0:
@@ -123,101 +112,137 @@ def knapsack(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
         else:
             counts[last[r]] += 1
             r -= last[r] + 1
-    return float(best[room]), counts
+    return counts
 
 
-def cutting_stock(demand: np.ndarray, room: int, most: int = 1500) -> list[tuple[int, np.ndarray]]:
-    """Patterns that cover the demand for items of weight 1, 2, ...: [(times, items of each weight)].
+def cutting_stock(demand: np.ndarray, steps: int = STEPS, together: int = TOGETHER, cut: float = CUT, gap: float = 1e-3, most: int = 5000) -> list[tuple[int, int, np.ndarray]]:
+    """Patterns that meet the demand for items of 1, 2, ... steps: [(times, sequences of the pattern, items of each weight)].
 
-    Column generation: the basis starts with one pattern per weight in demand, knapsack dynamic programming over
-    the duals prices the next column, and the ratio test puts it in, until no pattern prices above 1 (or
-    `most` columns were tried; the solution is then still whole, only wider). The times are rounded
-    down, and what is left is laid out best fit by decreasing weight. Its work depends on the number of
-    weights alone, not on the number of documents.
+    A pattern fills 1 to `together` sequences of `steps` steps and costs that number, plus `cut` for each boundary in it, where
+    an item may be cut. Column generation: the basis starts with one pattern per weight in demand, knapsack
+    dynamic programming over the duals prices the next column for each number of sequences, and the ratio test puts the best in,
+    until the cost is within a share of `gap` of the bound that the duals prove. Times are rounded down, then
+    up by the largest parts left while the demand lasts; what is then left fills patterns of `together` sequences
+    by decreasing weight. The work depends on the number of weights, not on that of documents. A warning says so if
+    `most` columns do not reach the gap; the patterns are whole even then.
     """
     n, left = len(demand), demand.astype(np.int64).copy()
     asked = np.flatnonzero(demand)
-    basis = np.diag((room // (asked + 1)).astype(float))
-    inverse = np.diag(1.0 / (room // (asked + 1)))
-    x = inverse @ demand[asked]
+    need = demand[asked].astype(float)
+    cost = lambda k: k + cut * (k - 1)
+    per = steps // (asked + 1)
+    basis, price, stock = np.diag(per.astype(float)), np.ones(len(asked)), np.ones(len(asked), np.int64)
+    inverse = np.diag(1.0 / per)
+    x, bound = inverse @ need, 0.0
     for step in range(most if len(asked) else 0):
         prices = np.zeros(n)
-        prices[asked] = inverse.sum(axis=0)
-        value, pattern = knapsack(prices, room)
-        if value <= 1 + 1e-9:
+        prices[asked] = np.maximum(price @ inverse, 0)
+        best, last = knapsack(prices, together * steps)
+        ratios = [best[k * steps] / cost(k) for k in range(1, together + 1)]
+        k = int(np.argmax(ratios)) + 1
+        bound = max(bound, prices[asked] @ need / ratios[k - 1])
+        if ratios[k - 1] <= 1 + 1e-9 or price @ x <= bound * (1 + gap):
             break
-        column = pattern[asked]
+        column = filled(last, k * steps, n)[asked]
         d = inverse @ column
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(d > 1e-7, x / d, np.inf)
         ties = np.flatnonzero(ratio <= ratio.min() + 1e-12)
         r = int(ties[d[ties].argmax()])
-        basis[:, r] = column
+        basis[:, r], price[r], stock[r] = column, cost(k), k
         if step % 50 == 49:
             inverse = np.linalg.inv(basis)
         else:
             row = inverse[r] / d[r]
             inverse -= np.outer(d, row)
             inverse[r] = row
-        x = np.maximum(inverse @ demand[asked], 0)
-    out: list[tuple[int, np.ndarray]] = []
-    for part, times in zip(basis.T.round().astype(np.int64), np.floor(x + 1e-9).astype(np.int64)):
-        c = np.zeros(n, np.int64)
-        c[asked] = part
+        x = np.maximum(inverse @ need, 0)
+    else:
+        if len(asked):
+            warnings.warn(f"the linear program stopped after {most} columns at a cost of {price @ x:.1f}; the proven bound is {bound:.1f}", stacklevel=2)
+    out: list[tuple[int, int, np.ndarray]] = []
+
+    def take(c: np.ndarray, times: int, k: int) -> None:
+        nonlocal left
         used = c > 0
-        times = min(int(times), int((left[used] // c[used]).min())) if used.any() else 0
+        times = min(times, int((left[used] // c[used]).min())) if used.any() else 0
         if times > 0:
-            out.append((times, c))
+            out.append((times, k, c))
             left -= times * c
+
+    def whole(column: np.ndarray) -> np.ndarray:
+        c = np.zeros(n, np.int64)
+        c[asked] = column.round().astype(np.int64)
+        return c
+
+    for column, times, k in zip(basis.T, np.floor(x + 1e-9), stock):
+        take(whole(column), int(times), int(k))
+    for r in np.argsort(-(x % 1), kind="stable"):
+        take(whole(basis[:, r]), 1, int(stock[r]))
     while left.any():
-        c, free = np.zeros(n, np.int64), room
+        c, free = np.zeros(n, np.int64), together * steps
         for k in range(n - 1, -1, -1):
             t = min(int(left[k]), free // (k + 1))
             c[k] += t
             free -= t * (k + 1)
-        times = int((left[c > 0] // c[c > 0]).min())
-        out.append((times, c))
-        left -= times * c
+        take(c, int((left[c > 0] // c[c > 0]).min()), -(-int(c @ np.arange(1, n + 1)) // steps))
     return out
 
 
 def pack(cut: DataFrame) -> DataFrame:
-    """pieces() plus sequence_id and offset.
-
-    Pieces are counted by length, coarse ones in multiples of COARSE tokens and ends in tokens; the driver
-    sees those 79 counts and nothing else of the documents. Pieces of a length are ranked by md5 of
-    doc_id within RANGES ranges, and patterns claim runs of ranks; the claims are a table of at most some
-    thousands of rows. Within a sequence longer pieces come first. Ties and repeated rows rank in any order, each once.
+    """pieces(), of which some are cut once more, plus sequence_id and offset.
+
+    Pieces are counted by length in steps; the driver sees those counts, at most STEPS, and nothing else of the documents.
+    Pieces of a length are ranked by md5 of doc_id within ranges, whose number grows with the table, and patterns claim runs of ranks; the
+    claims are a table of at most some thousands of rows. A pattern lays its items one after the other, longer
+    ones first, over its sequences, by their lengths in steps; one that lies across a boundary is cut there. Pieces of over
+    CAPACITY - STEP tokens are sequences of their own. So a document of up to CAPACITY tokens is whole or cut once.
+    Ties and repeated rows rank in any order, each once; an empty table gives no rows.
     """
     spark = cut.sparkSession
-    n, steps = F.col("length"), STOCKS[0][2]
-    cut = cut.withColumn("_class", F.when(n % COARSE == 0, n / COARSE).otherwise(n + steps).cast("int")).withColumn("_md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    cut = durable(cut.withColumn("_range", F.conv(F.substring("_md5", 1, 2), 16, 10).cast("int") % RANGES))
-    counts = cut.groupBy("_class", "_range").agg(F.count("*").alias("_n"))
-    demand = np.zeros(steps + STOCKS[1][2], np.int64)
-    for k, n in counts.groupBy("_class").agg(F.sum("_n")).collect():
+    cut = cut.withColumn("_class", F.ceil(F.col("length") / STEP).cast("int")).withColumn("_md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    cut = durable(cut)
+    demand = np.zeros(STEPS, np.int64)
+    for k, n in cut.groupBy("_class").agg(F.count("*")).collect():
         demand[k - 1] = n
-    claims, taken, sequence = [], np.zeros(len(demand), np.int64), 0
-    for first, (_, room, lengths) in zip((0, steps), STOCKS):
-        for times, items in cutting_stock(demand[first : first + lengths], room):
-            for k in np.flatnonzero(items) + first:
-                each = int(items[k - first])
-                claims.append((int(k) + 1, int(taken[k]), int(taken[k] + times * each), each, sequence))
-                taken[k] += times * each
-            sequence += times
-    claims = spark.createDataFrame(claims, "_class int, _from long, _to long, _each long, _first long")
+    ranges = max(RANGES, int(demand.sum()) // PER_RANGE + 1)
+    cut = cut.withColumn("_range", F.pmod(F.conv(F.substring("_md5", 1, 12), 16, 10).cast("long"), F.lit(ranges)).cast("int"))
+    counts = cut.groupBy("_class", "_range").agg(F.count("*").alias("_n"))
+    claims, taken, sequence = [(STEPS, 0, int(demand[-1]), 1, 1, 0, 0)], np.zeros(STEPS, np.int64), int(demand[-1])
+    for times, k, items in cutting_stock(demand[:-1]):
+        at = 0
+        for c in np.flatnonzero(items)[::-1]:
+            each = int(items[c])
+            claims.append((int(c) + 1, int(taken[c]), int(taken[c] + times * each), each, k, sequence, at))
+            taken[c] += times * each
+            at += each * (int(c) + 1)
+        sequence += times * k
+    claims = spark.createDataFrame(claims, "_class int, _from long, _to long, _each long, _k long, _first long, _place long")
     base = counts.withColumn("_base", F.sum("_n").over(Window.partitionBy("_class").orderBy("_range")) - F.col("_n")).drop("_n")
     rank = F.row_number().over(Window.partitionBy("_class", "_range").orderBy("_md5", "start", "length", "ids_crc32")) - 1
     x = cut.withColumn("_rank", rank).join(base, ["_class", "_range"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     # A claim is found in its row of the class, which holds all its claims: at most as many as there are patterns.
-    rows = claims.groupBy("_class").agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_each", "_first"))).alias("_claims"))
+    rows = claims.groupBy("_class").agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_each", "_k", "_first", "_place"))).alias("_claims"))
     x = x.join(F.broadcast(rows), "_class")
     at = F.element_at(F.filter("_claims", lambda c: (c["_from"] <= F.col("_rank")) & (F.col("_rank") < c["_to"])), 1)
     x = x.withColumn("_at", at).withColumn("_slot", F.col("_rank") - F.col("_at._from"))
-    x = x.withColumn("sequence_id", F.col("_at._first") + F.floor(F.col("_slot") / F.col("_at._each")))
-    within = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "_slot")
+    x = x.withColumn("_place", F.col("_at._place") + F.col("_slot") % F.col("_at._each") * F.col("_class"))
+    x = x.withColumn("_sequence", F.col("_at._first") + F.expr("_slot div _at._each") * F.col("_at._k") + F.expr(f"_place div {STEPS}"))
+    x = x.withColumn("_cut", F.when(F.expr(f"_place div {STEPS} < (_place + _class - 1) div {STEPS}"), STEPS - F.col("_place") % STEPS))  # in steps of the piece
+    crc = lambda of: F.conv(F.hex(F.substring(of, (F.col("_cut") - 1) * 4 + 1, F.lit(4))), 16, 10).cast("long")
+    ids = [c for c in cut.columns if c == "ids"]
+    part = lambda start, length, crc, n, slices: F.struct(start.alias("start"), length.alias("length"), crc.alias("ids_crc32"), n.alias("sequence_id"), *(s.alias("ids") for s in slices))
+    size = F.col("_cut") * STEP
+    parts = F.when(F.col("_cut").isNull(), F.array(part(F.col("start"), F.col("length"), F.col("ids_crc32"), F.col("_sequence"), [F.col(c) for c in ids]))).otherwise(
+        F.array(
+            part(F.col("start"), size, crc("before"), F.col("_sequence"), [F.slice(c, F.lit(1), size.cast("int")) for c in ids]),
+            part(F.col("start") + size, F.col("length") - size, crc("after"), F.col("_sequence") + 1, [F.slice(c, size.cast("int") + 1, F.lit(CAPACITY)) for c in ids]),
+        )
+    )
+    x = x.select("doc_id", "doc_tokens", "_place", F.explode(parts).alias("_p")).select("doc_id", "doc_tokens", "_place", "_p.*")
+    within = Window.partitionBy("sequence_id").orderBy("_place", "start")
     x = x.withColumn("offset", F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
-    return x.drop("_class", "_md5", "_range", "_rank", "_base", "_claims", "_at", "_slot")
+    return x.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *ids)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
