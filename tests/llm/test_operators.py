@@ -117,12 +117,93 @@ def html_texts(spark, pages):
 
 
 def test_html_optional_groups(spark):
-    """What only one page of a host has is no boilerplate; what all have is."""
+    """What only one page of a host has is no boilerplate, and neither is what all articles of a host begin with."""
     rnd = random.Random(2)
     long = [body(rnd, 40) for _ in range(6)]
     extra = ["", "<h2>Only here</h2>", "<pre>code</pre>", "<ul><li>one item</li></ul>", "<table><tr><td>cell</td></tr></table>", ""]
-    pages = [f'<div class="content"><h1>Same head</h1><p>{long[k]}</p>{extra[k]}</div>' for k in range(6)]
-    assert html_texts(spark, pages) == ["\n".join([long[k], *filter(None, [re.sub("<[^>]*>", "", extra[k])])]) for k in range(6)]
+    pages = [f'<div>Same line</div><section><div class="content"><h1>Same head</h1><p>{long[k]}</p>{extra[k]}</div></section><div>Same end</div>' for k in range(6)]
+    assert html_texts(spark, pages) == ["\n".join(["Same head", long[k], *filter(None, [re.sub("<[^>]*>", "", extra[k])])]) for k in range(6)]
+
+
+def shaped(rnd, shape):
+    """A page of a site without telling tags or labels unless the shape is about them, and its article's lines."""
+    t, n, lines = body(rnd, 5), rnd.randint(0, 999), [body(rnd, rnd.randint(20, 60)) for _ in range(rnd.randint(2, 5))]
+    p, links = "".join(f"<p>{x}</p>" for x in lines), "".join(f'<li><a href="/{k}">{body(rnd, 2)}</a></li>' for k in range(5))
+    menu, end = f"<div class=x1><ul>{links}</ul></div>", "<div class=x9>All rights kept by nobody at all</div>"
+    ad = f"<div class=q>{body(rnd, 4)}</div>"
+    return {
+        "content": (f"{menu}{ad}<div class=c><h1>{t}</h1>{p}</div>{end}", [t, *lines]),
+        "title beside": (f"{menu}<div class=h><h1>{t}</h1></div><div class=c>{p}</div>{ad}{end}", [t, *lines]),
+        "own ids": (f"{menu}<div id=post-{n}><h2>{t}</h2>{p}</div>{end}", [t, *lines]),
+        "words as ids": (f"{menu}<div id={t.replace(' ', '-')}>{p}</div>{end}", lines),
+        "comments as articles": (f"<main><article><h1>{t}</h1>{p}<article class='comment'><p>{body(rnd, 9)}</p></article></article></main>", [t, *lines]),
+        "comment list": (f"<div class=c><h1>{t}</h1>{p}</div><ol><li class=comment>{body(rnd, 9)}</li></ol>", [t, *lines]),
+        "links inside": (f"{menu}<div class=c><h1>{t}</h1>{p}<ul><li><a href=/r>{t}</a></li></ul><p><a href=/s>See the reference list</a></p></div>{end}", [t, *lines, t, "See the reference list"]),
+        "table": (f"<table><tr><td>{ad}</td></tr></table><table class=c><tr><td><h1>{t}</h1>{p}</td></tr></table>{end}", None),
+        "two templates": ((f"{menu}<div class=news><h1>{t}</h1>{p}</div>{end}" if n % 2 else f"{menu}<section class=blog><h1>{t}</h1>{p}</section>{end}"), [t, *lines]),
+        "form and notice": (f"<form>{ad}<label>Name</label></form><div class='cookie notice'>{t}</div><div class=c>{p}</div><aside>{t}</aside>", lines),
+        "unclosed": (f"<ul><li><a href=/>a</a><li><a href=/b>b</a></ul><div class=c><h1>{t}{''.join('<p>' + x for x in lines)}</div><footer>x", [t, *lines]),
+        "entities": (f"{menu}<div class=c><h1>{t} &amp; &eacute;&#33;</h1>{p.replace('<p>', '<p> &nbsp; ')}</div>{end}", [f"{t} & \u00e9!", *lines]),
+        "deep": (f"{menu}{'<div>' * 1500}{p}{'</div>' * 1500}{end}", lines),
+    }[shape]
+
+
+SHAPES = ("content", "title beside", "own ids", "words as ids", "comments as articles", "comment list", "links inside", "two templates", "form and notice", "unclosed", "entities", "deep")
+
+
+def test_html_shapes(spark):
+    """Twelve page shapes, a host each; repeated rows, null ids and clashing columns; pages that are moved to their rules and not."""
+    rnd = random.Random(9)
+    rows, want = [], {}
+    for s, shape in enumerate(SHAPES):
+        for k in range(20):
+            page, lines = shaped(rnd, shape)
+            rows.append((100 * s + k, f"http://h{s}.example/{k}", f"<html><head><title>T</title></head><body>{page}</body></html>", "host", 1, "rule"))
+            want[100 * s + k] = "\n".join(lines)
+    rows += [(None, *rows[0][1:]), rows[0]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, part int, rule string").repartition(3)
+    for broadcast in (htmltext.BROADCAST, 0):
+        got = htmltext.extract(df, broadcast).collect()
+        wrong = {SHAPES[(r["page_id"] or 0) // 100] for r in got if r["text"] != want[r["page_id"] or 0]}
+        assert len(got) == len(rows) and not wrong
+
+
+def wrapper_of(pages):
+    w = None
+    for page in pages:
+        old = w.kept if w else None
+        x = htmltext.Wrapper(1, htmltext.stream(htmltext.parse(page, old)), old)
+        w = x.shrink() if w is None else w.add(x)
+    return htmltext.Wrapper.load(w.dump())
+
+
+def test_html_wrapper_stays_small(monkeypatch):
+    """Labels of each page's own do not let a wrapper grow, and lose no text."""
+    monkeypatch.setattr(htmltext, "GROUPS", 60)
+    monkeypatch.setattr(htmltext, "LABELS", 6)
+    rnd = random.Random(6)
+    new = lambda: "".join(rnd.choice("abcdefgh") for _ in range(8))
+    pages = []
+    for _ in range(80):
+        t, lines = body(rnd, 4), [body(rnd, 20) for _ in range(4)]
+        menu = "".join(f"<div id={new()}><a href=/>{body(rnd, 2)}</a></div>" for _ in range(5))
+        pages.append((f"<div class=menu-x>{menu}</div><div class=c><h1>{t}</h1>{''.join(f'<section id={new()}><p>{x}</p></section>' for x in lines)}</div><div class=end>The same end</div>", [t, *lines]))
+    w = wrapper_of(p for p, _ in pages)
+    assert w.kept is not None and htmltext.size(w.groups) <= 60
+    r = htmltext.Rule(htmltext.rule(w))
+    assert all(htmltext.main_text(page, r) == "\n".join(lines) for page, lines in pages)
+
+
+def test_html_wrapper_decides():
+    """Without the host's rule, varying boilerplate without telling tags or labels stays in the text."""
+    rnd = random.Random(4)
+    pages = [shaped(rnd, "content") for _ in range(12)]
+    w = wrapper_of(p for p, _ in pages)
+    r = htmltext.Rule(htmltext.rule(w))
+    e = htmltext.expression(w.groups)
+    assert '<h1>#<' in e and "<div.x9>'" in e  # a slot, and a text that never varies
+    assert all(htmltext.main_text(page, r) == "\n".join(lines) for page, lines in pages)
+    assert not any(htmltext.main_text(page, None) == "\n".join(lines) for page, lines in pages)
 
 
 def test_html_sibling_holders(spark):
