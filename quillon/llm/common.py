@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
+
 #: White space of the contracts; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,12 +37,9 @@ def key_of(col: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only a session that names none (a test) gets one of its own."""
+    """The folder of spark.checkpoint.dir, which all executors share."""
     lean(spark)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
-    return sc.getCheckpointDir()
+    return tables.shared_folder(spark)
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -49,17 +49,19 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(src, dst) links of longs -> (id, component): each linked id with the smallest id reachable from it.
 
     Self links and repeated links are allowed; ids without a link to another id do not appear. Each
-    round is two joins on per-node minima, which pre-aggregate before the shuffle, so a node with very
-    many links is never gathered; rounds grow with the logarithm of the longest chain. Every round is
-    checkpointed. Raises if most_rounds do not suffice.
+    round is two joins on per-node minima, which pre-aggregate before the shuffle and are written first, so that
+    both sides of a join are plain shuffles: Spark splits the links of a node that has very many of them. Rounds
+    grow with the logarithm of the longest chain. Every round is checkpointed. Raises if most_rounds do
+    not suffice.
     """
     e = links.where("src is not null and dst is not null and src <> dst").mapInPandas(_contract, "src long, dst long").distinct()
     e, before = durable(e), None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"))
+        least = durable(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m")))
         large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
-        least = large.groupBy("src").agg(F.min("dst").alias("m"))
+        large = durable(large)
+        least = durable(large.groupBy("src").agg(F.min("dst").alias("m")))
         small = large.join(least, "src").select(F.explode(F.array(F.struct("src", F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))).alias("x")).select("x.*").where("src <> dst").distinct()
         e = durable(small)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())

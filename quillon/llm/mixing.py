@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import durable, key_of, table, words
 
 
+#: Documents that an md5 range of a source should hold.
+PER_RANGE = 20_000
+
+
 def source_targets(sized: DataFrame, weights: tuple = (1.0, 2.0, 3.0), most: int = 3, tilts: tuple = (-0.5, 0.0, 0.5)) -> DataFrame:
     """One row per source: _key, source_size, target, quota (whole words), tilt.
 
@@ -39,12 +43,15 @@ def curriculum(docs: DataFrame, weights: tuple = (1.0, 2.0, 3.0), most: int = 3,
 
     A source's stream is its documents by md5 of doc_id, passed up to `most` times, and ends after the
     whole words of the target, so the last document may be taken in part. Places are running sums within
-    4,096 md5 ranges of a source plus the sums of earlier ranges, so no task sorts a whole source.
+    md5 ranges of a source plus the sums of earlier ranges, so no task sorts a whole source; there are PER_RANGE
+    documents to a range, 4,096 ranges at least.
     """
     carried = [F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if rows else []
     sized = docs.select(*carried, "doc_id", F.col("source").alias("_source"), key_of(F.col("source")).alias("_key"), F.size(words(F.col("text"))).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order"))
-    sized = sized.withColumn("_range", F.substring("_order", 1, 3))
     whole, sized = sized, durable(sized.drop("row"))
+    ranges = max(4096, sized.count() // PER_RANGE + 1)
+    at = F.floor(F.conv(F.substring("_order", 1, 12), 16, 10).cast("double") / 2.0**48 * ranges).cast("long")
+    whole, sized = whole.withColumn("_range", at), sized.withColumn("_range", at)
     ranges = sized.groupBy("_key", "_range").agg(F.sum("size").alias("_sum"))
     ranges = ranges.withColumn("_base", F.sum("_sum").over(Window.partitionBy("_key").orderBy("_range")) - F.col("_sum")).drop("_sum")
     within = Window.partitionBy("_key", "_range").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -85,10 +92,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     x = schedule(curriculum(docs, rows=True), carry=("row",))
     text = F.when(F.col("taken") < F.col("size"), F.array_join(F.slice(words(F.col("row.text")), 1, F.col("taken").cast("int")), " ")).otherwise(F.col("row.text"))
-    x = x.select("row.*", text.alias("_text")).withColumn("text", F.col("_text"))
-    if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return x.select(*docs.columns)
+    size = F.length(text).cast(dict(docs.dtypes).get("n_chars", "int"))
+    return x.select(*(text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,7 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of this subpackage and their SQL. The pipeline registers itself beside them."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import embeddings, htmltext, lm, mixing, packing, quality, secrets, simhash, suffixes, toxicity
 
 QUERIES = {
@@ -17,6 +15,5 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8,
     "op9_secret_scans": secrets.op9,
     "op10_mixing": mixing.op10,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_quality_rules": quality.SQL, "op3_lm_scoring": lm.SQL, "op10_mixing": mixing.SQL}

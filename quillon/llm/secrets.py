@@ -180,9 +180,9 @@ def join(found: list[tuple[str, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, models: list[tuple[Automaton, float]]) -> DataFrame:
-    """Spans of every document (doc_id, text); null texts are empty and have none.
+    """Spans of every document (doc_id, text); null and empty texts have none.
 
-    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans. Per row, without a shuffle.
+    Repeated rows are scanned each, other columns are not looked at, an empty table gives no rows. Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans. Per row, without a shuffle.
     """
     kind = dict(docs.dtypes)["doc_id"]
 

@@ -258,7 +258,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         todo = todo.unionByName(x)
     todo = todo.repartition(tasks(docs.sparkSession), "g").sortWithinPartitions("g")
     out = out.unionByName(todo.mapInPandas(_sort, "text_md5 binary, s long, e long"))
-    return out.groupBy("text_md5").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return durable(out.groupBy("text_md5").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,10 +285,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """One row per document (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every byte covered by a string of LENGTH bytes that also starts elsewhere, in any document, goes.
-    Null texts are empty; repeated rows are documents of their own, so both lose what they share.
+    Null texts are empty; repeated rows are documents of their own, so both lose what they share. Other columns are
+    not looked at, and an empty table gives no rows. Texts meet their spans by hash; both sides of that join are plain
+    shuffles, so Spark splits a text that very many documents have.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select("doc_id", key_of(F.col("doc_id")).alias("doc"), F.unhex(F.md5(text)).alias("text_md5"), text.alias("text"))
+    # Short texts repeat nothing and meet nothing: they are dealt out by doc_id.
+    name = F.when(F.octet_length(text) >= LENGTH, F.md5(text)).otherwise(F.md5(F.concat(F.lit("short"), key_of(F.col("doc_id")))))
+    docs = docs.select("doc_id", key_of(F.col("doc_id")).alias("doc"), F.unhex(name).alias("text_md5"), text.alias("text"))
     x = docs.select("doc_id", "text_md5", "text").join(repeats(docs), "text_md5", "left")
     return x.select("doc_id", "text", "spans").mapInPandas(_cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

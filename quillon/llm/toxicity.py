@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import durable, table, words
 
-#: The bounded sample: labelled rows that teach, those of least md5; and beginnings of words in the lexicon.
-MOST_ROWS, MOST_WORDS = 20_000, 200
+#: The bounded sample: labelled rows that teach, those of least md5.
+MOST_ROWS = 20_000
 #: Lengths of the beginnings that may enter the lexicon; a short word is its own beginning.
 SHORTEST, LONGEST = 3, 8
 FEATURES = ("density", "weight", "kinds", "hidden", "near", "capitals", "shouts", "marks", "digits", "obfuscated", "log_words")
@@ -137,17 +137,19 @@ def fold(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def teach(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS) -> tuple[dict[str, float], Trees | None]:
+def teach(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tuple[dict[str, float], Trees | None]:
     """(lexicon, calibrated trees) from labelled rows whose crc32(doc_id) mod 5 is not 0.
 
-    At most most_rows labels are used, those of least md5 of doc_id, so their ids may be broadcast.
+    At most most_rows labels are used, those of least md5 of doc_id, so their ids may be broadcast; of several
+    documents with one doc_id the least text teaches, and of several labels the largest. The lexicon takes every
+    beginning that passes its test, so it is bounded by those rows' words.
     Remainders 1 and 2 give the lexicon (words of toxic texts by log-likelihood ratio), 3 the trees and 4
     the calibration, so no part is fitted to what it has seen. Null labels are left out. Without both
     classes in remainder 3 there are no trees.
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id")) != 0)
     one = one.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most_rows)
-    rows = durable(docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), fold(F.col("doc_id")).alias("part")))
+    rows = durable(docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic")).withColumn("part", fold(F.col("doc_id"))))
     bare = F.array_distinct(F.transform(words(F.lower("text")), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
     starts = F.array_distinct(F.flatten(F.transform(F.filter(bare, lambda w: F.length(w) >= SHORTEST), lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))), lambda k: F.left(w, k)))))
     told = rows.where("part in (1, 2)").select("toxic", F.explode(starts).alias("w"))
@@ -156,10 +158,10 @@ def teach(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_w
     if n1 and n0:
         c = told.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).where("a >= 5")
         odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-        c = c.withColumn("x", odds).where("x > 2").orderBy((F.col("a") * F.col("x") * F.col("x")).desc(), "w").limit(8 * most_words).collect()
+        c = c.withColumn("x", odds).where("x > 2").collect()
         seen_in = {r["w"]: (r["a"], r["b"]) for r in c}
-        longer = {w[:-1] for w in seen_in if seen_in.get(w[:-1]) == seen_in[w]}  # the longer beginning says the same
-        lexicon = dict([(r["w"], float(r["x"])) for r in c if r["w"] not in longer][:most_words])
+        shorter = {w[:-1] for w in seen_in if seen_in.get(w[:-1]) == seen_in[w]}  # the longer beginning says the same
+        lexicon = {r["w"]: float(r["x"]) for r in sorted(c, key=lambda r: r["w"]) if r["w"] not in shorter}
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = finder(lexicon)
@@ -179,7 +181,8 @@ def toxicity(docs: DataFrame, lexicon: dict[str, float], trees: Trees | None) ->
     """One row per document (doc_id, text): doc_id, held_out, score, predicted.
 
     Scores depend on the text alone. Null and empty texts are scored as texts without words; without
-    trees every score is 0. Per row, without a shuffle.
+    trees every score is 0; a null doc_id is not held out. Repeated rows are scored each, other columns are not
+    looked at, and an empty table gives no rows. Per row, without a shuffle.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
