@@ -59,3 +59,8 @@ def aggregate_python(t: DataFrame, key: str, value: str, f: Callable, result: st
     """
     udf = F.pandas_udf(f, result, F.PandasUDFType.GROUPED_AGG) if not hasattr(f, "evalType") else f
     return t.groupBy(key).agg(udf(t[value]).alias("value"))
+
+
+def partition_rows(t: DataFrame) -> DataFrame:
+    """How the rows lie: (partition, n), of partitions that have any."""
+    return t.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))

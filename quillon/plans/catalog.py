@@ -100,6 +100,13 @@ def having(spark, d):
     return rel.filter_rows(rel.aggregate(t(spark, d, "lineitem"), "l_suppkey", n=ag.length()), F.col("n") > 600)
 
 
+@query("select 16::bigint as parts, count(*) as n, true as level from orders")
+def partitioning(spark, d):
+    """Rows dealt out evenly to 16 partitions."""
+    x = rel.partition_rows(t(spark, d, "orders", "o_orderkey").repartition(16))
+    return x.agg(F.count("*").alias("parts"), F.sum("n").alias("n"), (F.max("n") - F.min("n") <= 0.1 * F.max("n")).alias("level"))
+
+
 # Joins
 
 

@@ -35,6 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a shared file system, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read_table(spark: SparkSession, path: str, columns: dict[str, str | T.DataType]) -> DataFrame:
     """The declared columns of a Parquet table and no others. A declared column that the file lacks or holds as another type raises ValueError."""
     df = spark.read.parquet(path)
