@@ -95,6 +95,16 @@ def test_quality(docs, texts):
     assert kept.columns == docs.columns and 40 <= kept.count() < len(texts) - 25  # the last 25 texts have under ten words
 
 
+def test_fences_of_small_and_large_sources(spark):
+    """A source of fewer than least_docs documents is judged by its language, one of as many by itself, on both sides of that number."""
+    rows = [(k, " ".join(f"{'w' * (3 + k % 3)}{j}" for j in range(10, 30)), "en", "big") for k in range(50)]
+    rows += [(100 + k, " ".join(f"{'x' * 40}{j}" for j in range(10, 30)), "en", "small") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    m = quality._keyed(quality.metrics(docs).where("true"))
+    high = {n: {r["_source"]: r["hi_length"] for r in quality.fences(m, n).collect()} for n in (9, 10)}
+    assert high[9]["=small"] > 40_000 > high[10]["=small"] and high[9]["=small"] != high[9].get("=big")
+
+
 PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><div class="nav"><ul><li><a href="/">Home</a></li></ul></div>
 <div id="cookie-notice">We use cookies</div><div class="content"><h1>Head {0}</h1><p>First   &amp; {0} <b>bold</b>.</p><p>{1}</p></div>
 <div class="comments"><p>Nice post</p></div><div class="sidebar"><p>Ad</p></div><script>var x = "<p>no</p>";</script><footer>Foot</footer></body></html>"""
@@ -338,6 +348,31 @@ def test_packing(docs, texts):
     assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 1024) + 2
 
 
+def test_packing_cuts_at_boundaries(spark):
+    """Documents of some 660 tokens fill sequences in threes of which one is cut; both parts bear their own checksums."""
+    text = "a b c d e f g h i j " * 66
+    docs = spark.createDataFrame([(k, text[: len(text) - 2 * (k % 4)]) for k in range(60)], "doc_id long, text string")
+    got = packing.pack(packing.pieces(docs, with_ids=True)).toPandas()
+    pieces = got.groupby("doc_id").size()
+    assert pieces.max() == 2 and 10 <= (pieces == 2).sum() <= 25
+    assert all(zlib.crc32(np.array(p, "<u4").tobytes()) == c and len(p) == n for p, c, n in zip(got["ids"], got["ids_crc32"], got["length"]))
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 1024
+    assert got["sequence_id"].nunique() <= 1.05 * got["length"].sum() / 1024 + 1
+
+
+def test_cutting_stock():
+    """Patterns meet the demand, fit their sequences and cost little more than the least that the lengths allow."""
+    rnd = np.random.default_rng(5)
+    for demand in (rnd.integers(0, 40, 63), np.zeros(63, int), np.r_[np.zeros(40, int), 300, np.zeros(22, int)], np.r_[1, np.zeros(61, int), 1]):
+        out = packing.cutting_stock(demand)
+        assert (sum((t * c for t, _, c in out), np.zeros(63, int)) == demand).all()
+        weight = np.arange(1, 64)
+        assert all(c @ weight <= 64 * k for _, k, c in out)
+        if 500 < demand.sum() and demand.max() < 100:
+            assert sum(t * k for t, k, _ in out) <= 1.02 * (demand @ weight) / 64 + 1
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
 def test_toxicity(spark):
     d = "/root/testdata/sf0.1"
