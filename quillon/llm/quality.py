@@ -14,6 +14,8 @@ MEASURES = (
     ("repeats", "n_repeat_words * 1000 div n_words", None, 100),
     ("length", "word_chars * 1000 div n_words", 2000, 4000),
 )
+#: Pairs of a language and a source, some hundred bytes each, that may be broadcast.
+MOST_LIMITS = 100_000
 #: Widths of the interquartile range that a fence lies beyond the quartiles.
 REACH = 4
 
@@ -88,13 +90,14 @@ def fences(measured: DataFrame, least_docs: int = 100) -> DataFrame:
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """measured plus kept: inside every fence of its language and source, and base_failed false."""
+    """measured plus kept: inside every fence of its language and source, and base_failed false. Up to MOST_LIMITS fences go to every task, so that no document is moved."""
     inside = F.lit(True)
     for m, e, below, _ in MEASURES:
         if below is not None:
             inside = inside & (F.expr(e) >= F.col(f"lo_{m}"))
         inside = inside & (F.expr(e) <= F.col(f"hi_{m}"))
-    x = measured.join(limits, ["_lang", "_source"], "left")
+    limits = durable(limits)
+    x = measured.join(F.broadcast(limits) if limits.count() <= MOST_LIMITS else limits, ["_lang", "_source"], "left")
     return x.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(True))))
 
 
@@ -105,14 +108,12 @@ def _keyed(measured: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the input's columns. Null languages and sources form groups of their own.
 
-    The texts are measured twice, once for the sketches and once for the filter, instead of being
-    shuffled or stored; the counts alone are written for the sketches, as a filter that the optimizer
-    pushed into the measures would evaluate them many times over. What is joined is one row per language
-    and source.
+    Repeated rows are judged alike, null and empty texts go, an empty table gives no rows. Texts are measured once and
+    written with their counts (the checkpoint takes their size), as a filter that the optimizer pushed into the measures would
+    evaluate them many times over.
     """
-    m = _keyed(metrics(docs))
-    counts = durable(m.select(*(c for c in m.columns if c != "_row")))
-    return judged(m, fences(counts)).where("kept").select("_row.*")
+    m = durable(_keyed(metrics(docs)))
+    return judged(m, fences(m)).where("kept").select("_row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
