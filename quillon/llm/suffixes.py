@@ -258,7 +258,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         todo = todo.unionByName(x)
     todo = todo.repartition(tasks(docs.sparkSession), "g").sortWithinPartitions("g")
     out = out.unionByName(todo.mapInPandas(_sort, "text_md5 binary, s long, e long"))
-    return durable(out.groupBy("text_md5").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    return out.groupBy("text_md5").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,8 +286,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Every byte covered by a string of LENGTH bytes that also starts elsewhere, in any document, goes.
     Null texts are empty; repeated rows are documents of their own, so both lose what they share. Other columns are
-    not looked at, and an empty table gives no rows. Texts meet their spans by hash; both sides of that join are plain
-    shuffles, so Spark splits a text that very many documents have.
+    not looked at, and an empty table gives no rows. Texts of LENGTH bytes or more meet their spans by hash.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     # Short texts repeat nothing and meet nothing: they are dealt out by doc_id.
