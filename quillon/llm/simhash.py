@@ -1,7 +1,8 @@
-"""Operator 8: near duplicates by SimHash, compared bit-sliced; and the pipeline's stage, which checks Jaccard similarity."""
+"""Operator 8: near duplicates by SimHash, compared bit-sliced; and the pipeline's stage, which checks what that finds for Jaccard similarity."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -16,8 +17,10 @@ from .components import Forest, connected_components
 
 #: Fingerprints of a run that one task compares; longer runs are dealt out as pairs of blocks of this size.
 BLOCK = 2048
-#: Bands of independent minima of a shingle set, and minima in a band: at a similarity of 0.8 a pair shares no band once in 1,500 times.
-BANDS, ROWS = 40, 8
+#: Of pairs at the least Jaccard similarity, the share that may meet under no key; rows that a key should have.
+MISSED, RUN = 1 / 1500, 256
+#: Words of a shingle set's fingerprints that are compared, and the deviations of their differing bits that the radius allows for.
+COMPARED, SIGMA = 4, 4.5
 #: Shingle sets, and shingles, of a candidate group's block; larger groups are dealt out as pairs of blocks.
 SETS, SHINGLES = 512, 500_000
 
@@ -58,38 +61,57 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
 
 
 def planes(x: np.ndarray) -> np.ndarray:
-    """Bit planes of uint64 values: row b holds bit b of every value, 64 values to a word."""
-    bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    """Bit planes of uint64 values, or of rows of several: row b holds bit b of every value, 64 values to a word."""
+    bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").T
     return np.ascontiguousarray(np.packbits(np.pad(bits, ((0, 0), (0, -len(x) % 64))), axis=1, bitorder="little")).view(np.uint64)
 
 
 def within(differences: Iterable[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes whose differing bits number at most radius (below 8).
+    """Lanes whose differing bits number at most radius.
 
-    Takes one array of difference words per bit plane, adds it to three vertical counters by carry-save,
-    and stops as soon as every lane is past the radius.
+    Takes one array of difference words per bit plane and adds it to vertical counters by carry-save: two
+    words that wait at a counter are added to it at once, and their carry waits at the next one. Stops as soon as every lane
+    is past the radius.
     """
-    ones = twos = fours = over = None
+    top = max(1, radius.bit_length())
+    counters: list[np.ndarray] = []
+    waiting: list[np.ndarray | None] = [None] * top
+    over = np.zeros(0, np.uint64)
     for n, x in enumerate(differences):
-        if ones is None:
-            ones, twos, fours, over = x.copy(), np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
-            continue
-        c = ones & x
-        ones ^= x
-        d = twos & c
-        twos ^= c
-        over |= fours & d
-        fours ^= d
-        if n % 8 == 7 and (past(ones, twos, fours, over, radius) == ~np.uint64(0)).all():
-            return np.zeros_like(over)
-    return ~past(ones, twos, fours, over, radius)
-
-
-def past(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
+        if not counters:
+            counters, over = [np.zeros_like(x) for _ in range(top)], np.zeros_like(x)
+        for k in range(top):
+            if (y := waiting[k]) is None:
+                waiting[k] = x
+                break
+            c, waiting[k] = counters[k], None
+            u = c ^ x
+            counters[k] = u ^ y
+            x = (c & x) | (u & y)
+        else:
+            over |= x
+        if n % (1 << top) == (1 << top) - 1:
+            # Every counter's words have been added up by now.
+            if (past(counters, over, radius) == ~np.uint64(0)).all():
+                return np.zeros_like(over)
+    carry = None
+    for k in range(top):
+        left, carry = [x for x in (waiting[k], carry) if x is not None], None
+        for x in left:
+            both = counters[k] & x
+            counters[k] = counters[k] ^ x
+            carry = both if carry is None else carry | both
+    if carry is not None:
+        over |= carry
+    return ~past(counters, over, radius)
+
+
+def past(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
     """Lanes whose counter is above radius, bit by bit from the highest."""
     above, equal = over.copy(), ~over
-    for bit, c in ((4, fours), (2, twos), (1, ones)):
-        if radius & bit:
+    for bit in reversed(range(len(counters))):
+        c = counters[bit]
+        if radius >> bit & 1:
             equal = equal & c
         else:
             above |= equal & c
@@ -98,18 +120,19 @@ def past(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, over: np.ndarray
 
 
 def run_links(fp: np.ndarray, ids: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Stars that connect what is linked among the fingerprints of one long run."""
+    """Stars that connect what is linked among the fingerprints of one long run; fp: a row per fingerprint, of one word or more."""
     p, m, step = planes(fp), len(fp), 256
+    fp = np.ascontiguousarray(fp.reshape(m, -1))
     near = []
     full = ~np.uint64(0)
     for at in range(0, m, step):
-        q = fp[at : at + step]
-        flips = (np.where((q >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))[:, None] for b in range(64))
-        near.append(within((p[b][None, :] ^ f for b, f in enumerate(flips)), radius))
+        q = np.unpackbits(fp[at : at + step].view(np.uint8), axis=1, bitorder="little").T
+        flips = np.where(q, full, np.uint64(0))[:, :, None]
+        near.append(within((x ^ f for x, f in zip(p, flips)), radius))
     rows = np.concatenate(near)
     bits = lambda words: np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little")[:m])
     left = np.zeros(p.shape[1], np.uint64)
-    left.view(np.uint8)[: (m + 7) // 8] = np.packbits(np.ones(m, np.uint8), bitorder="little")
+    left.view(np.uint8)[: (m + 7) // 8] = np.packbits(np.bitwise_count(rows).sum(axis=1, dtype=np.int64) > 1, bitorder="little")  # those near to others than themselves
     out = []
     while left.any():
         part = np.zeros_like(left)
@@ -126,13 +149,13 @@ def run_links(fp: np.ndarray, ids: np.ndarray, radius: int) -> list[tuple[int, i
     return out
 
 
-def _compare(radius: int):
+def _compare(words: list[str], radius: int):
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         keys = ["table", "key", "i", "j"]
 
         def links(b: pd.DataFrame) -> pd.DataFrame:
-            fp, ids = b["fp"].to_numpy().view(np.uint64), b["id"].to_numpy()
+            fp, ids = np.ascontiguousarray(b[words].to_numpy()).view(np.uint64), b["id"].to_numpy()
             k = b[keys].to_numpy()
             edge = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1), True])
             sizes = np.diff(edge)
@@ -178,14 +201,21 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     mask = [((1 << cut[b + 1]) - 1) ^ ((1 << cut[b]) - 1) for b in range(n)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keys = F.array(*(F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(mask[a] | mask[b])).cast("long")).alias("key")) for t, (a, b) in enumerate(combinations(range(n), 2))))
-    rows = fps.select("fp", "id", F.explode(keys).alias("k")).select("fp", "id", "k.table", "k.key")
+    return links_by_key(fps.select("fp", "id", F.explode(keys).alias("k")).select("fp", "id", "k.table", "k.key"), ["fp"], radius)
+
+
+def links_by_key(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
+    """(src, dst): links that connect what fingerprints within radius bits connect that share a key.
+
+    rows: table, key, id and the words of the fingerprint, all but table long.
+    """
     long = rows.groupBy("table", "key").agg(F.count("*").alias("_n")).where(f"_n > {BLOCK}").select("table", "key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_b"))
     rows = rows.join(long, ["table", "key"], "left").withColumn("_b", F.coalesce("_b", F.lit(1)))
-    rows = rows.withColumn("_at", F.pmod(F.xxhash64("fp"), F.col("_b")).cast("int"))
-    rows = rows.select("table", "key", "fp", "id", "_at", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_o"))
-    rows = rows.select("table", "key", F.least("_at", "_o").alias("i"), F.greatest("_at", "_o").alias("j"), "fp", "id")
-    rows = rows.repartition(tasks(fps.sparkSession), "table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j", "fp")
-    return rows.mapInPandas(_compare(radius), "src long, dst long")
+    rows = rows.withColumn("_at", F.pmod(F.xxhash64(*words), F.col("_b")).cast("int"))
+    rows = rows.select("table", "key", *words, "id", "_at", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_o"))
+    rows = rows.select("table", "key", F.least("_at", "_o").alias("i"), F.greatest("_at", "_o").alias("j"), *words, "id")
+    rows = rows.repartition(tasks(rows.sparkSession), "table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j", *words)
+    return rows.mapInPandas(_compare(words, radius), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
@@ -201,18 +231,31 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     return f.join(node, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _minima() -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(42)
-    x = r.integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
-    return x[0], x[1] | np.uint64(1)
+def scheme(rows: int, least: float) -> tuple[int, int, int]:
+    """Bits of a key, keys, and the radius on COMPARED words, for shingle sets of a Jaccard similarity of least or more.
 
-
-def bands(hashes: np.ndarray, flip: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """One key per band of a shingle set; equal keys of a band mean equal minima under all its orders."""
-    least = np.full(len(flip), ~np.uint64(0))
-    for at in range(0, len(hashes), 512):
-        np.minimum(least, ((hashes[None, at : at + 512] ^ flip) * times).min(1), out=least)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), n) for n, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+    At a Jaccard similarity of s, the cosine is 2 s / (1 + s) or more, and a bit of a SimHash differs once in pi / angle
+    times. Keys have more bits in a larger table, so that some RUN rows meet under each, and are then as many as MISSED asks for.
+    """
+    differ = math.acos(2 * least / (1 + least)) / math.pi
+    bits = min(32, max(6, math.ceil(math.log2(max(1, rows) / RUN))))
+    keys = math.ceil(math.log(MISSED) / math.log1p(-((1 - differ) ** bits)))
+    mean = 64 * COMPARED * differ
+    return bits, keys, math.ceil(mean + SIGMA * math.sqrt(mean * (1 - differ)))
+
+
+def simhashes(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Independent SimHash words of a shingle set: of each hash, several mixed values vote; a tie is 0."""
+    r = np.random.default_rng(42).integers(0, 1 << 64, (2, words), dtype=np.uint64)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255):  # 255 ones fill a byte
+        x = (hashes[at : at + 255, None] ^ r[0]) * (r[1] | np.uint64(1))
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        votes = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(votes.view(np.uint64), axis=0).view(np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
 
 
 def name_of(hashes: np.ndarray) -> int:
@@ -220,31 +263,16 @@ def name_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, row, node, n, bands) per row: the row's hash, and its shingle set's name, size and band keys (none without words)."""
+def signatures(docs: DataFrame, k: int, words: int) -> DataFrame:
+    """(doc_id, row, node, n, words) per row: the row's hash, and its shingle set's name, size and SimHash words (none without words of text)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flip, times = _minima()
         for b in batches:
             sets = [np.unique(shingles(t if isinstance(t, str) else "", k)) for t in b["text"]]
-            yield b[["doc_id", "row"]].assign(node=[name_of(x) for x in sets], n=[len(x) for x in sets], bands=[bands(x, flip, times) if len(x) else np.zeros(0, np.int64) for x in sets])
+            yield b[["doc_id", "row"]].assign(node=[name_of(x) for x in sets], n=[len(x) for x in sets], words=[simhashes(x, words) if len(x) else np.zeros(0, np.int64) for x in sets])
 
     x = docs.select("doc_id", F.xxhash64(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), "text")
-    return x.mapInPandas(each, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, node long, n long, bands array<long>")
-
-
-def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links the rows of each key, which are sorted by it, with the key's first row."""
-    key = first = None
-    for b in batches:
-        src, dst = [], []
-        for k, x in zip(b["key"].tolist(), b["node"].tolist()):
-            if k != key:
-                key, first = k, x
-            else:
-                src.append(x)
-                dst.append(first)
-        yield pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
+    return x.mapInPandas(each, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, node long, n long, words array<long>")
 
 
 def similar(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -286,18 +314,22 @@ def _check(k: int, least: float):
     return each
 
 
-def similar_links(docs: DataFrame, f: DataFrame, k: int, least: float) -> DataFrame:
+def similar_links(docs: DataFrame, f: DataFrame, k: int, least: float, bits: int, keys: int, radius: int) -> DataFrame:
     """(src, dst) of nodes: links that connect what shingle sets of a Jaccard similarity of least or more connect.
 
-    f: signatures(docs). Sets that share a band key are candidates; all pairs within a group of connected
-    candidates are checked exactly on the shingles. Bands of minima instead of a SimHash radius: at 0.8
-    two SimHashes of 64 bits differ by 9.7 bits on average, too many for block keys that tell texts apart.
+    f: signatures(docs). Sets whose SimHashes agree in one of `keys` blocks of `bits` bits and differ by at most radius
+    bits of the compared words are candidates; all pairs within a group of connected candidates are checked exactly on the
+    shingles. At 0.8 two words differ by 9.7 bits of 64 on average: hence several independent words, keys that are
+    short, as the bit-sliced comparison bears long runs, and a radius over all compared words.
     """
-    node = f.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    node = f.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("words").alias("words"))
     node = durable(node)
-    rows = node.select("node", F.explode("bands").alias("key")).repartition(tasks(docs.sparkSession), "key").sortWithinPartitions("key", "node")
-    group = connected_components(rows.mapInPandas(_stars, "src long, dst long"))
-    group = durable(node.drop("bands").join(group.select(F.col("id").alias("node"), F.col("component").alias("group")), "node"))
+    per, names = 64 // bits, [f"w{k}" for k in range(COMPARED)]
+    key = lambda t: F.shiftrightunsigned(F.col("words")[t // per], t % per * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    at = F.explode(F.array(*(F.struct(F.lit(t).alias("table"), key(t).alias("key")) for t in range(keys)))).alias("k")
+    rows = node.select(F.col("node").alias("id"), *(F.col("words")[k].alias(x) for k, x in enumerate(names)), at).select("id", *names, "k.table", "k.key")
+    group = connected_components(links_by_key(rows, names, radius))
+    group = durable(node.drop("words").join(group.select(F.col("id").alias("node"), F.col("component").alias("group")), "node"))
     cut = group.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("_b"))
     group = group.join(cut, "group").withColumn("_at", F.pmod(F.xxhash64("node"), F.col("_b")).cast("int"))
     group = group.select("group", "node", "row", "_at", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_o"))
@@ -312,8 +344,9 @@ def keep_one(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
 
     Components connect documents whose sets of k-word shingles have a Jaccard similarity of least or more.
     """
-    f = durable(signatures(docs, k))
-    parts = connected_components(similar_links(docs, f, k, least)).withColumnRenamed("id", "node")
+    bits, keys, radius = scheme(docs.count(), least)
+    f = durable(signatures(docs, k, max(COMPARED, -(-keys // (64 // bits)))))
+    parts = connected_components(similar_links(docs, f, k, least, bits, keys, radius)).withColumnRenamed("id", "node")
     f = f.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = f.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("row"))
     first = durable(first.join(f.groupBy("row").agg(F.count("*").alias("times")), "row"))

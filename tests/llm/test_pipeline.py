@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
@@ -62,3 +63,40 @@ def test_near_duplicates_keep_one_row(spark):
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(r["text"].split()[0] for r in got) == [f"w{k}x0" for k in range(6)]
     assert {r["doc_id"] for r in got if r["text"] == long[3]} == {7}
+
+
+@pytest.mark.parametrize("radius,words", [(4, 1), (7, 1), (52, 3), (65, 4)])
+def test_bits_within_a_radius(radius, words):
+    r = np.random.default_rng(3)
+    x = np.packbits(r.random((500, 64 * words)) < radius / 64 / words, axis=1).view(np.uint64)
+    near = simhash.within(iter(simhash.planes(x)), radius).view(np.uint8)
+    want = np.bitwise_count(x).sum(axis=1) <= radius
+    assert np.array_equal(np.unpackbits(near, bitorder="little")[:500].astype(bool), want) and 0 < want.sum() < 500
+
+
+@pytest.mark.parametrize("rows", [1000, 200_000, 5_000_000])
+@pytest.mark.parametrize("size,shared", [(9, 8), (45, 40), (450, 400)])
+def test_simhash_candidates_at_least_similarity(rows, size, shared):
+    """Of shingle sets at 0.8, all but some in 1,500 agree in a block of their SimHashes and differ by at most the radius; others differ by more."""
+    bits, keys, radius = simhash.scheme(rows, 0.8)
+    per, r, missed = 64 // bits, np.random.default_rng(7), 0
+    words = max(simhash.COMPARED, -(-keys // per))
+    for _ in range(400):
+        x = r.integers(0, 1 << 64, 2 * size - shared, dtype=np.uint64)
+        a, b = (simhash.simhashes(s, words).view(np.uint64) for s in (x[:size], x[size - shared :]))
+        d = a ^ b
+        met = any(int(d[t // per]) >> t % per * bits & ((1 << bits) - 1) == 0 for t in range(keys))
+        missed += not met or np.bitwise_count(d[: simhash.COMPARED]).sum() > radius
+        other = simhash.simhashes(r.integers(0, 1 << 64, size, dtype=np.uint64), words).view(np.uint64)
+        assert np.bitwise_count((a ^ other)[: simhash.COMPARED]).sum() > radius
+    assert missed <= 4
+
+
+def test_near_duplicates_are_found_by_simhash(spark, monkeypatch):
+    """The stage links what SimHash finds: without equal blocks of fingerprints nothing goes."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(60 + k))) for k in range(2)], "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 1
+    signs = simhash.signatures
+    apart = lambda d, k, words: signs(d, k, words).withColumn("words", simhash.F.transform("words", lambda w: simhash.F.xxhash64(w, "node")))
+    monkeypatch.setattr(simhash, "signatures", apart)
+    assert simhash.keep_one(docs).count() == 2
