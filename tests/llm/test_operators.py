@@ -490,3 +490,14 @@ def test_empty_tables(spark, docs, op):
         "embeddings": lambda: embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")),
     }[op]()
     assert out.count() == 0
+
+
+def test_suffixes_write_little_of_what_occurs_once(spark):
+    """Texts that repeat nothing leave checkpoints of less than half their bytes."""
+    folder, rnd = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir"), random.Random(9)
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder.removeprefix("file:")) for f in names)
+    rows = [(k, "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000))) for k in range(100)]
+    before = size()
+    got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["n_bytes"], r["n_removed"]) for r in got} == {(20_000, 0)} and len(got) == 100
+    assert 0 < size() - before < 1_000_000
