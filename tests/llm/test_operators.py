@@ -501,3 +501,19 @@ def test_suffixes_write_little_of_what_occurs_once(spark):
     got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {(r["n_bytes"], r["n_removed"]) for r in got} == {(20_000, 0)} and len(got) == 100
     assert 0 < size() - before < 1_000_000
+
+
+def test_suffixes_keep_groups_in_one_task(spark):
+    """Pairs that differ in one byte lose what is left and right of it, however Spark runs the joins before the sort."""
+    rnd, rows = random.Random(10), []
+    for k in range(400):
+        t = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=1000))
+        rows += [(k, t[:500] + "A" + t[500:]), (1000 + k, t[:500] + "B" + t[500:])]
+    rnd.shuffle(rows)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # as tables of many partitions are
+    spark.conf.set(key, "false")
+    try:
+        got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    finally:
+        spark.conf.unset(key)
+    assert collections.Counter((r["n_removed"], r["n_spans"]) for r in got) == {(1000, 2): 800}
