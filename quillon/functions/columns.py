@@ -26,6 +26,11 @@ def normal_cdf(x: Column) -> Column:
     return 0.5 + 0.5 * erf(x * 0.707106781)
 
 
+def log10(x: Column) -> Column:
+    """Logarithm of base 10 as in IEEE and SQL: -inf at 0 and NaN below, where Spark's own gives null; null stays null."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.log10(x))
+
+
 def argmin(values: Column) -> Column:
     """1-based place of the least entry of an array, the first of equal ones."""
     return F.array_position(values, F.array_min(values))
