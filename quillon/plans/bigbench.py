@@ -49,15 +49,21 @@ def q26(sales: DataFrame, item: DataFrame, wanted: Column, least: int, classes:
     return filter_rows(per, F.col("ss_item_count") > least)
 
 
-def pair_counts(sales: DataFrame, ticket: str, item: str, least: int, top: int) -> DataFrame:
+def pair_counts(sales: DataFrame, ticket: str, item: str, least: int, top: int, per_task: int = 1 << 19) -> DataFrame:
     """The `top` pairs of items that share most tickets, of those with more than `least`: item_1 < item_2, n.
 
-    A ticket's pairs come from its set of items, so a ticket must be of moderate size, as a basket is.
+    A ticket's pairs come from its set of items, so a ticket must be of moderate size, as a basket is. Tasks have
+    `per_task` rows of sales on average, however many those are: Spark would join the small parts of a shuffle of sets
+    to tasks whose pairs fill memory. Pairs are counted in each part of the tickets before they are dealt out.
     """
-    sets = sales.groupBy(ticket).agg(F.sort_array(F.collect_set(item)).alias("_i")).where(F.size("_i") > 1)
-    first = sets.select(F.posexplode("_i").alias("_p", "item_1"), "_i").select("item_1", F.expr("slice(_i, _p + 2, size(_i))").alias("_r"))
-    pairs = first.select("item_1", F.explode("_r").alias("item_2"))
-    return pairs.groupBy("item_1", "item_2").agg(F.count("*").alias("n")).where(F.col("n") > least).orderBy(F.desc("n"), "item_1", "item_2").limit(top)
+    sales = sales.select(F.col(ticket).alias("_t"), F.col(item).alias("_i")).where(F.col("_t").isNotNull() & F.col("_i").isNotNull())
+    parts = -(-sales.count() // per_task) or 1
+    dealt = sales.withColumn("_b", F.pmod(F.hash("_t"), F.lit(parts))).repartitionById(parts, "_b")
+    sets = dealt.groupBy("_b", "_t").agg(F.sort_array(F.collect_set("_i")).alias("_i")).where(F.size("_i") > 1)
+    first = sets.select("_b", F.posexplode("_i").alias("_p", "item_1"), "_i").select("_b", "item_1", F.expr("slice(_i, _p + 2, size(_i))").alias("_r"))
+    pairs = first.select("_b", "item_1", F.explode("_r").alias("item_2")).groupBy("_b", "item_1", "item_2").agg(F.count("*").alias("n"))
+    counts = pairs.repartition(parts, "item_1", "item_2").groupBy("item_1", "item_2").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") > least).orderBy(F.desc("n"), "item_1", "item_2").limit(top)
 
 
 def session_mates(clicks: DataFrame, user: str, order: list[str], seconds: Column, item: str, mine, timeout: float, top: int) -> DataFrame:

@@ -1,3 +1,8 @@
+import random
+import re
+from collections import Counter
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +94,24 @@ def test_q25(spark):
     assert rows(r) == [(1, 1.0, 4, 498.4), (2, 0.0, 3, 138.8), (3, 1.0, 1, 30.1)]
 
 
+def test_pair_counts(spark):
+    rng = random.Random(3)
+    sales = [(rng.choice([None, *range(150)]), rng.choice([None, *range(12)])) for _ in range(1000)] + [(None, k) for k in (1, 2)] * 9
+    frame = spark.createDataFrame(sales, "ticket long, item long")
+    tickets = {t: {i for s, i in sales if s == t and i is not None} for t, _ in sales if t is not None}
+    want = Counter(p for items in tickets.values() for p in combinations(sorted(items), 2))
+    want = sorted(((*p, n) for p, n in want.items() if n > 20), key=lambda r: (-r[2], r[:2]))
+    assert len(want) > 40
+    assert [tuple(r) for r in bb.pair_counts(frame, "ticket", "item", 20, 40).collect()] == want[:40]
+    dealt = bb.pair_counts(frame, "ticket", "item", 20, 40, per_task=100)
+    assert [tuple(r) for r in dealt.collect()] == want[:40]
+    assert bb.pair_counts(frame.where("false"), "ticket", "item", 1, 9).count() == 0
+    # tickets, and then pairs, are dealt out to as many tasks as the rows need, which Spark does not join again
+    parts = -(-sum(t is not None and i is not None for t, i in sales) // 100)
+    plan = dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(rf"Exchange .*, {parts}\), REPARTITION_BY_NUM", plan)) == 2 and "coalesced" not in plan
+
+
 def test_empty_tables(spark, t1):
     e = t1.where("false")
     assert rel.join(e, t1.withColumnRenamed("val2", "v"), "userid", "userid").count() == 0
