@@ -49,15 +49,18 @@ def q26(sales: DataFrame, item: DataFrame, wanted: Column, least: int, classes:
     return filter_rows(per, F.col("ss_item_count") > least)
 
 
-def pair_counts(sales: DataFrame, ticket: str, item: str, least: int, top: int, per_task: int = 1 << 19) -> DataFrame:
+def pair_counts(sales: DataFrame, ticket: str, item: str, least: int, top: int, per_task: int = 1 << 19, direct: int = 200) -> DataFrame:
     """The `top` pairs of items that share most tickets, of those with more than `least`: item_1 < item_2, n.
 
     A ticket's pairs come from its set of items, so a ticket must be of moderate size, as a basket is. Tasks have
     `per_task` rows of sales on average, however many those are: Spark would join the small parts of a shuffle of sets
-    to tasks whose pairs fill memory. Pairs are counted in each part of the tickets before they are dealt out.
+    to tasks whose pairs fill memory. They have up to four times as many before there are more than `direct` tasks, as
+    to more than that (spark.shuffle.sort.bypassMergeThreshold) a task deals out by sorting its rows in memory. Pairs
+    are counted in each part of the tickets before they are dealt out.
     """
     sales = sales.select(F.col(ticket).alias("_t"), F.col(item).alias("_i")).where(F.col("_t").isNotNull() & F.col("_i").isNotNull())
-    parts = -(-sales.count() // per_task) or 1
+    rows = sales.count()
+    parts = max(1, min(-(-rows // per_task), direct), -(-rows // (4 * per_task)))
     dealt = sales.withColumn("_b", F.pmod(F.hash("_t"), F.lit(parts))).repartitionById(parts, "_b")
     sets = dealt.groupBy("_b", "_t").agg(F.sort_array(F.collect_set("_i")).alias("_i")).where(F.size("_i") > 1)
     first = sets.select("_b", F.posexplode("_i").alias("_p", "item_1"), "_i").select("_b", "item_1", F.expr("slice(_i, _p + 2, size(_i))").alias("_r"))
